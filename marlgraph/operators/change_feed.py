@@ -51,7 +51,7 @@ def _upserts(keys: Sequence[str], states: int | None):
                 SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY {names} ORDER BY _seq DESC, _op DESC, _payload DESC NULLS LAST) = 1
                 ON CONFLICT ({names}) DO UPDATE SET _seq = excluded._seq, _op = excluded._op, _payload = excluded._payload
                 WHERE (excluded._seq, excluded._op, coalesce(excluded._payload, '')) > (state._seq, state._op, coalesce(state._payload, ''))"""
-            )
+            ).fetchall()
             con.unregister("incoming")
 
         def export() -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _upserts(keys: Sequence[str], states: int | None):
             if n >= ROWS:
                 put(pa.Table.from_batches(held))
                 held, n = [], 0
-                if states and con.execute("SELECT count(*) FROM state").fetchone()[0] >= states:
+                if states and con.execute("SELECT count(*) FROM state").fetchall()[0][0] >= states:
                     yield from export()
         if n:
             put(pa.Table.from_batches(held))
