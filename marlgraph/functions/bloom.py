@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 #: Bound of a filter, 8 MB. Beyond about 7 million keys the share of false positives rises; they cost work, not rightness.
 MAX_BITS = 1 << 26
+#: Partial filters that meet in one task: at most PARTS * MAX_BITS, 256 MB.
+PARTS = 32
 
 
 def bloom_of(keys: DataFrame, hashed: str, bits: int = MAX_BITS, items: int | None = None) -> DataFrame:
-    """One row with the filter of a long column, as binary; null where there are no rows."""
+    """One row with the filter of a long column, as binary; null where there are no rows. items: number of keys, for a filter of 10 bits a key within `bits`."""
+    bits = min(bits, max(1 << 10, 10 * items)) if items is not None else bits
+    keys = keys.coalesce(PARTS)
     jvm = keys.sparkSession.sparkContext._jvm
     convert = jvm.org.apache.spark.sql.classic.ExpressionUtils
     literal = lambda n: convert.expression(F.lit(n).cast("long")._jc)
-    made = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(convert.expression(F.col(hashed)._jc), literal(items or bits // 10), literal(bits))
+    made = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(convert.expression(F.col(hashed)._jc), literal(max(1, bits // 10)), literal(bits))
     return keys.agg(Column(convert.column(made.toAggregateExpression())).alias("bloom"))
 
 

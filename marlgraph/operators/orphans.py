@@ -35,7 +35,7 @@ def orphans(edge_writes: DataFrame, vertex_writes: DataFrame, bits: int = MAX_BI
     writes = vertex_writes.where("node_id IS NOT NULL").select(canonical_tenant("tenant_id").alias("tenant_id"), "node_id", F.col("written_at").alias("at"), "write_id", (canonical_op("op") == "DELETE").alias("removed"))
     parents = materialize(writes.groupBy(*KEY).agg(F.min(F.when(F.col("at").isNull(), F.lit(None)).otherwise(F.col("at"))).alias("first_at"), F.max(F.col("at").isNull()).alias("always"), F.max("removed").alias("ever_removed")), "parents")
     hashed = F.xxhash64(*KEY)
-    bloom = bloom_of(parents.select(hashed.alias("h")), "h", bits)
+    bloom = bloom_of(parents.select(hashed.alias("h")), "h", bits, parents.count())
     tested = references(edge_writes).withColumn("maybe", F.coalesce(might_contain(bloom, hashed), F.lit(False)))
     out = ["request_id", "endpoint", "tenant_id", "requested_at", "kind"]
     missing = tested.where("NOT maybe").withColumn("kind", F.lit("missing")).select(*out)
