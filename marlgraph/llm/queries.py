@@ -1,10 +1,10 @@
-"""Queries p1, p8 and p9 and their SQL."""
+"""Queries p1, p8, p9 and p10 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlgraph.llm import leakage, similar, tokenize
+from marlgraph.llm import leakage, pii, similar, tokenize
 from marlgraph.sources.tables import table
 
 
@@ -20,7 +20,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), words=12, errors=0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.find(documents, pii.fit_on(documents, table(spark, folder, "contacts"))).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.redact(documents, pii.fit_on(documents, table(spark, folder, "contacts")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found, p10_found, p10_redacted)}
 
 
 def sql() -> dict[str, str]:
