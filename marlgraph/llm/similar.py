@@ -30,8 +30,8 @@ from marlgraph.runtime import materialize
 
 #: Vectors of a shard, and of a leaf of a shard's own tree.
 CAPACITY, LEAF = 8_192, 512
-#: Vectors on which the trees over shards are fitted, of all domains together.
-SAMPLE = 20_000
+#: Vectors on which the trees over shards are fitted: so many for each shard needed, and at most SAMPLE of all domains together (26 MB at 64 dimensions).
+PER_SHARD, SAMPLE = 64, 100_000
 FACTOR = 0.15
 
 
@@ -256,11 +256,12 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
 
 
 def fit_routing(units: DataFrame, dim: int, capacity: int = CAPACITY, sample: int = SAMPLE) -> dict[str, Tree]:
-    """A tree per domain over a sample of at most about `sample` vectors, chosen by hash; its leaves are the shards."""
+    """A tree per domain over a sample of about PER_SHARD vectors a shard, chosen by hash; its leaves are the shards."""
     counts = {r[0]: r[1] for r in units.groupBy("domain").count().collect()}
     total = sum(counts.values())
-    share = int(min(1.0, sample / max(total, 1)) * (1 << 20))
-    some = units.where(F.pmod(F.xxhash64(F.lit("sample"), "unit"), F.lit(1 << 20)) < share).select("domain", "vector").toArrow()
+    wanted = min(sample, max(4_000, PER_SHARD * total // capacity))
+    share = int(min(1.0, wanted / max(total, 1)) * (1 << 30))
+    some = units.where(F.pmod(F.xxhash64(F.lit("sample"), "unit"), F.lit(1 << 30)) < share).select("domain", "vector").toArrow()
     names, x = np.array(some.column(0).to_pylist(), object), _matrix(some.column(1), dim)
     trees = {}
     for domain, n in counts.items():

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from marlgraph.llm.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker keeps; when full, it starts again.
 CACHE = 400_000
@@ -220,7 +222,7 @@ def encode(rows: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, o
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inside.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.select(key, text).mapInArrow(run, schema)
+    return spread(rows.select(key, text)).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
