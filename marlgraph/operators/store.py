@@ -4,15 +4,17 @@ Logs: vertices (tenant_id, node_id, properties, op, seq), edges (tenant_id, src,
 (tenant_id, node_id, path, sap_key, seq). op is PUT or DELETE (null: PUT); the highest seq of a key decides, of equal ones a DELETE and then the
 greatest properties. Properties are replaced as a whole. Null ids are left out; null tenants are `default`; empty logs give empty views.
 
-Adjacency is kept as rows; arrays are only built for output. A tombstone removes an edge from both ends.
+Adjacency is kept as rows; lists are only built for output, in segments of bounded length. A tombstone removes an edge from both ends.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlgraph.functions.canonical import canonical_op, canonical_tenant
+from marlgraph.operators.heavy_keys import BLOCK, SEGMENT
 
 #: Degree from which a vertex is reported as a super-node. On reading, on compaction.
 SUPER_READ, SUPER_FOLD = 500_000, 1_000_000
@@ -59,10 +61,27 @@ def both_ends(edges: DataFrame) -> DataFrame:
     return edges.select("tenant_id", F.explode(ends).alias("e")).select("tenant_id", "e.*")
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(tenant_id, node_id, out_edges, in_edges): sorted distinct ids, empty arrays where there are none."""
-    one = lambda d: F.array_sort(F.collect_set(F.when(F.col("dir") == d, F.col("other"))))
-    return both_ends(edges).distinct().groupBy("tenant_id", "node_id").agg(one(0).alias("out_edges"), one(1).alias("in_edges"))
+def neighbour_lists(ends: DataFrame, keys: list[str], segment: int = SEGMENT) -> DataFrame:
+    """(keys, segment, out_edges, in_edges): the sorted distinct `other` of both directions, cut after every `segment` of them.
+
+    A vertex with fewer neighbours has one row, segment 0; a hub has as many as it needs, and no task ever holds its whole list. A place in a list
+    is the number of ids in lower blocks plus the place in the own block, so the longest sort is one block.
+    """
+    by = [*keys, "dir"]
+    ends = ends.select(*by, "other", F.floor(F.col("other") / BLOCK).alias("block")).distinct()
+    counts = ends.groupBy(*by, "block").agg(F.count("*").alias("n"))
+    below = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "block", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*by, "block").orderBy("other"))
+    placed = ends.withColumn("place", place).join(counts, [*by, "block"])
+    number = F.floor((F.col("place") + F.col("before") - 1) / segment)
+    one = lambda d: F.array_sort(F.collect_list(F.when(F.col("dir") == d, F.col("other"))))
+    return placed.groupBy(*keys, number.alias("segment")).agg(one(0).alias("out_edges"), one(1).alias("in_edges"))
+
+
+def neighbours(edges: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(tenant_id, node_id, segment, out_edges, in_edges) of every vertex; see neighbour_lists."""
+    return neighbour_lists(both_ends(edges), ["tenant_id", "node_id"], segment)
 
 
 def degrees(edge_puts: DataFrame) -> DataFrame:

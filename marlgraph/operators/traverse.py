@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlgraph.operators.store import both_ends
+from marlgraph.operators.store import both_ends, neighbour_lists
 from marlgraph.runtime import materialize
 
 
@@ -54,9 +54,12 @@ def expand(edges: DataFrame, anchor: int, max_depth: int, max_nodes: int | None
 
 
 def with_neighbours(visited: DataFrame, edges: DataFrame, direction: str = "Outbound", tenant_id: str = "default") -> DataFrame:
-    """The visited vertices with their sorted neighbour lists; the side that the direction leaves out is empty."""
+    """The visited vertices with their sorted neighbour lists, in segments; the side that the direction leaves out is empty."""
     steps = _steps(edges, tenant_id, direction).join(visited.select("node_id"), "node_id", "left_semi")
-    side = lambda d: F.array_sort(F.collect_set(F.when(F.col("dir") == d, F.col("other"))))
-    lists = steps.groupBy("node_id").agg(side(0).alias("out_edges"), side(1).alias("in_edges"))
+    return with_lists(visited, neighbour_lists(steps, ["node_id"]))
+
+
+def with_lists(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each vertex with its lists; one without has a segment 0 of empty ones."""
     empty = F.array().cast("array<long>")
-    return visited.join(lists, "node_id", "left").withColumns({"out_edges": F.coalesce("out_edges", empty), "in_edges": F.coalesce("in_edges", empty)})
+    return asked.join(lists, "node_id", "left").withColumns({"segment": F.coalesce("segment", F.lit(0)), "out_edges": F.coalesce("out_edges", empty), "in_edges": F.coalesce("in_edges", empty)})

@@ -153,14 +153,10 @@ class GraphSession:
         return store.scan_vertices(self.vertices, self.tenant_id)
 
     def neighbours(self, ids: int | DataFrame) -> DataFrame:
-        """(node_id, out_edges, in_edges) of the ids asked for; unknown ones have empty lists."""
+        """(node_id, segment, out_edges, in_edges) of the ids asked for; unknown ones have empty lists. Only a hub has more than segment 0."""
         asked = self.spark.createDataFrame([(self._id(ids),)], "node_id long") if isinstance(ids, int) else ids.select("node_id").distinct()
-        own = self.edges.where(F.col("tenant_id") == self.tenant_id)
-        found = store.both_ends(own).join(asked, "node_id", "left_semi")
-        side = lambda d: F.array_sort(F.collect_set(F.when(F.col("dir") == d, F.col("other"))))
-        lists = found.groupBy("node_id").agg(side(0).alias("out_edges"), side(1).alias("in_edges"))
-        empty = F.array().cast("array<long>")
-        return asked.join(lists, "node_id", "left").select("node_id", F.coalesce("out_edges", empty).alias("out_edges"), F.coalesce("in_edges", empty).alias("in_edges"))
+        found = store.both_ends(self.edges.where(F.col("tenant_id") == self.tenant_id)).join(asked, "node_id", "left_semi")
+        return traverse.with_lists(asked, store.neighbour_lists(found, ["node_id"]))
 
     def degree(self, ids: DataFrame) -> DataFrame:
         puts = self._log("edges", EDGE_LOG).where((F.col("tenant_id") == self.tenant_id) & (F.col("op") == "PUT"))
