@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from marlgraph.functions.canonical import canonical_tenant
 
-#: Width of a block of target ids, and length of a segment of a neighbour list.
-BLOCK = 65_536
+#: Width of a block of target ids as a power of two, and length of a segment of a neighbour list.
+BLOCK_BITS = 16
 SEGMENT = 1_000
 
 
@@ -52,17 +52,24 @@ def degrees(edge_writes: DataFrame, adjacency: DataFrame) -> DataFrame:
     return occurrences(edge_writes, adjacency).join(distinct, ["tenant_id", "source_id"], "left").select("tenant_id", "source_id", F.col("n").alias("degree"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def neighbour_segments(pairs: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(tenant_id, source_id, segment, neighbours): the sorted distinct targets of each source, cut after every `segment` of them.
+def segmented(rows: DataFrame, by: list[str], value: str, segment: int = SEGMENT) -> DataFrame:
+    """(by, value, segment): the distinct values of each key, numbered in ascending order and cut after every `segment` of them.
 
-    A target's place in its source's list is the number of targets in lower blocks plus its place in its own block. The first comes from
-    counts per block, the second from a window over one block, so the longest sort of a task is BLOCK ids and not a whole hub.
+    A value's place in its key's list is the number of values in lower blocks plus its place in its own block. The second comes from a
+    window over one block, so the longest sort of a task is a block and not a whole hub; the first from counts of the blocks.
     """
-    distinct = pairs.select("tenant_id", "source_id", "target_id", F.floor(F.col("target_id") / BLOCK).alias("block")).distinct()
-    counts = distinct.groupBy("tenant_id", "source_id", "block").agg(F.count("*").alias("n"))
-    below = Window.partitionBy("tenant_id", "source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("tenant_id", "source_id", "block", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("tenant_id", "source_id", "block").orderBy("target_id")
-    placed = distinct.withColumn("place", F.row_number().over(inside)).join(counts, ["tenant_id", "source_id", "block"])
-    number = F.floor((F.col("place") + F.col("offset") - 1) / segment)
-    return placed.groupBy("tenant_id", "source_id", number.alias("segment")).agg(F.array_sort(F.collect_list("target_id")).alias("neighbours"))
+    # never null, so that the join adds no filter to one side only and both sides share the exchange of the distinct rows
+    block = F.coalesce(F.shiftright(value, BLOCK_BITS), F.lit(0))
+    distinct = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, value])).select(*by, value, block.alias("_block")).distinct()
+    below = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = distinct.groupBy(*by, "_block").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(*by, "_block", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_before"))
+    placed = distinct.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(value)))
+    number = F.floor((F.col("_place") + F.col("_before") - 1) / segment)
+    return placed.join(sizes, [*by, "_block"]).select(*by, value, number.alias("segment"))
+
+
+def neighbour_segments(pairs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(tenant_id, source_id, segment, neighbours): the sorted distinct targets of each source, cut after every `segment` of them."""
+    rows = segmented(pairs, ["tenant_id", "source_id"], "target_id", segment)
+    return rows.groupBy("tenant_id", "source_id", "segment").agg(F.array_sort(F.collect_list("target_id")).alias("neighbours"))

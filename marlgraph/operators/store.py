@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlgraph.functions.canonical import canonical_op, canonical_tenant
-from marlgraph.operators.heavy_keys import BLOCK, SEGMENT
+from marlgraph.operators.heavy_keys import SEGMENT, segmented
 
 #: Degree from which a vertex is reported as a super-node. On reading, on compaction.
 SUPER_READ, SUPER_FOLD = 500_000, 1_000_000
@@ -55,8 +54,11 @@ def get_edge(edges: DataFrame, tenant_id: str, src: int, dst: int) -> DataFrame:
     return edges.where((F.col("tenant_id") == tenant_id) & (F.col("src") == src) & (F.col("dst") == dst))
 
 
-def both_ends(edges: DataFrame) -> DataFrame:
-    """(tenant_id, node_id, dir, other): dir 0 is out, 1 is in."""
+def both_ends(edges: DataFrame, direction: str = "both") -> DataFrame:
+    """(tenant_id, node_id, dir, other): dir 0 is out, 1 is in. direction: outbound, inbound, or else both."""
+    if direction.lower() in ("outbound", "inbound"):
+        near, far, d = ("src", "dst", 0) if direction.lower() == "outbound" else ("dst", "src", 1)
+        return edges.select("tenant_id", F.col(near).alias("node_id"), F.lit(d).alias("dir"), F.col(far).alias("other"))
     ends = F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("dir"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("dir"), F.col("src").alias("other")))
     return edges.select("tenant_id", F.explode(ends).alias("e")).select("tenant_id", "e.*")
 
@@ -64,19 +66,10 @@ def both_ends(edges: DataFrame) -> DataFrame:
 def neighbour_lists(ends: DataFrame, keys: list[str], segment: int = SEGMENT) -> DataFrame:
     """(keys, segment, out_edges, in_edges): the sorted distinct `other` of both directions, cut after every `segment` of them.
 
-    A vertex with fewer neighbours has one row, segment 0; a hub has as many as it needs, and no task ever holds its whole list. A place in a list
-    is the number of ids in lower blocks plus the place in the own block, so the longest sort is one block.
+    A vertex with fewer neighbours has one row, segment 0; a hub has as many as it needs, and no task ever holds its whole list.
     """
-    by = [*keys, "dir"]
-    ends = ends.select(*by, "other", F.floor(F.col("other") / BLOCK).alias("block")).distinct()
-    counts = ends.groupBy(*by, "block").agg(F.count("*").alias("n"))
-    below = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "block", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy(*by, "block").orderBy("other"))
-    placed = ends.withColumn("place", place).join(counts, [*by, "block"])
-    number = F.floor((F.col("place") + F.col("before") - 1) / segment)
     one = lambda d: F.array_sort(F.collect_list(F.when(F.col("dir") == d, F.col("other"))))
-    return placed.groupBy(*keys, number.alias("segment")).agg(one(0).alias("out_edges"), one(1).alias("in_edges"))
+    return segmented(ends, [*keys, "dir"], "other", segment).groupBy(*keys, "segment").agg(one(0).alias("out_edges"), one(1).alias("in_edges"))
 
 
 def neighbours(edges: DataFrame, segment: int = SEGMENT) -> DataFrame:

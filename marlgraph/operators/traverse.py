@@ -19,13 +19,14 @@ from marlgraph.runtime import materialize
 
 
 def _steps(edges: DataFrame, tenant_id: str, direction: str) -> DataFrame:
-    rows = both_ends(edges.where(F.col("tenant_id") == tenant_id)).select("node_id", "dir", "other").distinct()
-    wanted = {"inbound": [1], "outbound": [0]}.get(direction.lower(), [0, 1])
-    return rows.where(F.col("dir").isin(wanted))
+    return both_ends(edges.where(F.col("tenant_id") == tenant_id), direction).select("node_id", "dir", "other")
 
 
 def expand(edges: DataFrame, anchor: int, max_depth: int, max_nodes: int | None = None, direction: str = "Outbound", tenant_id: str = "default") -> DataFrame:
-    """(node_id, depth, rank) of the vertices visited; rank is null without a cap."""
+    """(node_id, depth, rank) of the vertices visited; rank is null without a cap. Repeated edges needn't be removed before.
+
+    Every level reads the edges anew and keeps those of the frontier, so edges that are costly to derive should be a written table.
+    """
     spark = edges.sparkSession
     shape = "node_id long, depth int, rank long"
     if max_nodes is not None and max_nodes <= 0:

@@ -246,7 +246,7 @@ _SIDE = "string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (dir = {})"
 @_query(f"WITH {_G}, p AS (SELECT *, (row_number() OVER (PARTITION BY n, dir ORDER BY o) - 1) // 1000 seg FROM (SELECT src n, 0 dir, dst o FROM g UNION ALL SELECT dst, 1, src FROM g)) SELECT n node_id, seg::BIGINT segment, {_SIDE.format(0)} out_edges, {_SIDE.format(1)} in_edges FROM p GROUP BY n, seg")
 def store_neighbors(spark, folder):
     text = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
-    return store.neighbours(_edges(spark, folder)).select("node_id", "segment", text("out_edges").alias("out_edges"), text("in_edges").alias("in_edges"))
+    return store.neighbours(_puts(spark, folder)).select("node_id", "segment", text("out_edges").alias("out_edges"), text("in_edges").alias("in_edges"))
 
 
 @_query(f"WITH {_G} SELECT dst node_id, count(*) sources, min(src) first_source FROM g GROUP BY 1")
@@ -303,23 +303,23 @@ _BFS = "WITH RECURSIVE {g}, s AS ({s}), b(node, depth) AS (SELECT 8::BIGINT, 0 U
 
 @_query(_BFS.format(g=_G, s="SELECT src a, dst b FROM g", d=3))
 def bfs_out(spark, folder):
-    return traverse.expand(_edges(spark, folder), 8, 3).select("node_id", "depth")
+    return traverse.expand(_puts(spark, folder), 8, 3).select("node_id", "depth")
 
 
 @_query(_BFS.format(g=_G, s="SELECT dst a, src b FROM g", d=2).replace("8::BIGINT", "12::BIGINT"))
 def bfs_in(spark, folder):
-    return traverse.expand(_edges(spark, folder), 12, 2, direction="INBOUND").select("node_id", "depth")
+    return traverse.expand(_puts(spark, folder), 12, 2, direction="INBOUND").select("node_id", "depth")
 
 
 @_query(_BFS.format(g=_G, s="SELECT src a, dst b FROM g UNION SELECT dst, src FROM g", d=2))
 def bfs_both(spark, folder):
-    return traverse.expand(_edges(spark, folder), 8, 2, direction="both").select("node_id", "depth")
+    return traverse.expand(_puts(spark, folder), 8, 2, direction="both").select("node_id", "depth")
 
 
 @_query()
 def bfs_capped(spark, folder):
     """With a cap of 40 vertices, ranks and neighbour lists; tested against a queue in Python."""
-    edges = _edges(spark, folder)
+    edges = _puts(spark, folder)
     rows = traverse.with_neighbours(traverse.expand(edges, 8, 3, 40, "both"), edges, "both")
     return rows.select("node_id", "depth", "rank", "segment", F.array_join("out_edges", ",").alias("out_edges"), F.array_join("in_edges", ",").alias("in_edges"))
 

@@ -13,6 +13,7 @@ from marlgraph.operators import profile, retrieve, store, traverse
 from marlgraph.operators.retrieve import Policy, Principal
 from marlgraph.plans import executor, pattern, planner
 from marlgraph.plans.catalog import Catalog
+from marlgraph.runtime import materialize
 from marlgraph.sources.events import graph_writes
 
 LOG = logging.getLogger("marlgraph.audit")
@@ -163,7 +164,7 @@ class GraphSession:
         return store.degrees(puts).join(ids.select("node_id").distinct(), "node_id", "right").select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "out_degree", "in_degree")])
 
     def expand_neighborhood(self, anchor: int, max_depth: int, max_nodes_visited: int | None = None, direction: str = "Outbound") -> DataFrame:
-        edges = self.edges
+        edges = materialize(self.edges.where(F.col("tenant_id") == self.tenant_id), "edges")
         visited = traverse.expand(edges, self._id(anchor), max_depth, max_nodes_visited, direction, self.tenant_id)
         return traverse.with_neighbours(visited, edges, direction, self.tenant_id)
 
