@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlgraph.runtime import VersionedTable, scratch_path
+from marlgraph.runtime import VersionedTable, scratch_path, ship
 
 INSERT, UPDATE, DELETE = 1, 2, 3
 #: Keys that one upsert table of an input partition holds before its states are passed on and a new one begins.
@@ -85,6 +85,7 @@ def apply_changes(feed: DataFrame, keys: Sequence[str], sequence: str, operation
     shuffle partitions. publish_to: root of the VersionedTable that gets the result, tombstones included, as column `_op`.
     """
     spark = feed.sparkSession
+    ship(spark)
     changes = feed.where(F.col(operation).isin(INSERT, UPDATE, DELETE) & F.col(sequence).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     changes = changes.select(
         *[F.col(k).cast("string").alias(k) for k in keys],

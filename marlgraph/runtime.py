@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per Spark context, so that they need no installation or path of it."""
+    context = spark.sparkContext
+    if getattr(context, "_marlgraph_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="marlgraph-code-"), "marlgraph.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.join("marlgraph", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._marlgraph_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where unset (tests, one machine), one made once per session."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("marlgraph.sharedDir", None)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlgraph.runtime import ship
+
 #: Event time that an identifier stays in the state.
 DELAY = "3 days"
 _ENTRY = [("a", "<i8"), ("b", "<i8"), ("t", "<i8")]
@@ -78,6 +80,7 @@ def _recognise(columns: Sequence[str]):
 def recognised(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = DELAY, carry: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Per micro-batch and identifier: its first copy (keys, carried columns, `_t`), `copies` in the batch and whether the state had it (`known`)."""
     spark = stream.sparkSession
+    ship(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [*keys, *carry]
     rows = stream.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
