@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlgraph.runtime import ship
+
 #: Characters of item texts per pass.
 BLOCK = 8_000_000
 #: Characters of documents that are looked at together.
@@ -187,6 +189,7 @@ def leaks(documents: DataFrame, items: DataFrame, document_id: str = "doc_id", i
     """(document_id, item_id) of documents that hold `words` consecutive words of an item within `errors` edits; 0 means the same words."""
     schema = T.StructType([T.StructField(document_id, documents.schema[document_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     spark = documents.sparkSession
+    ship(spark)
     items = items.where(F.col(text).isNotNull()).select(item_id, text)
     size = items.agg(F.sum(F.length(text))).first()[0] or 0
     passes = max(1, -(-size // BLOCK))

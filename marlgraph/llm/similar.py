@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlgraph.runtime import materialize
+from marlgraph.runtime import materialize, ship
 
 #: Vectors of a shard, and of a leaf of a shard's own tree.
 CAPACITY, LEAF = 8_192, 512
@@ -162,6 +162,7 @@ def usable(rows: DataFrame, dim: int) -> DataFrame:
 def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, factor: float = FACTOR, capacity: int = CAPACITY) -> DataFrame:
     """(domain, node_id, neighbour, distance, rank): the k nearest others of the same domain of each entity, as far as they lie within `limit`."""
     spark = rows.sparkSession
+    ship(spark)
     points = usable(rows, dim).withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
     points = materialize(points, "points")
     # a unit is a distinct vector with its k + 1 smallest ids; the ranks are cut before and after the shuffle

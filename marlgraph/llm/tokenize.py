@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from marlgraph.llm.spread import spread
+from marlgraph.runtime import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker keeps; when full, it starts again.
@@ -236,4 +237,5 @@ def decode(rows: DataFrame, key: str, ids: str = "ids", vocabulary: str = VOCABU
             texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
+    ship(rows.sparkSession)
     return rows.select(key, ids).mapInArrow(run, schema)
