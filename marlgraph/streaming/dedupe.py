@@ -78,7 +78,10 @@ def _recognise(columns: Sequence[str]):
 
 
 def recognised(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = DELAY, carry: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Per micro-batch and identifier: its first copy (keys, carried columns, `_t`), `copies` in the batch and whether the state had it (`known`)."""
+    """Per micro-batch and identifier: its first copy (keys, carried columns, `_t`), `copies` in the batch and whether the state had it (`known`).
+
+    buckets: how many arrays hold the identifiers, for about a million of those alive in each; it must stay the same for a checkpoint, as `deduplicate` sees to.
+    """
     spark = stream.sparkSession
     ship(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,6 +99,7 @@ def recognised(stream: DataFrame, keys: Sequence[str], event_time: str, delay: s
 def deduplicate(stream: DataFrame, keys: Sequence[str], event_time: str, root: str, delay: str = DELAY, carry: Sequence[str] = (), buckets: int | None = None, trigger: dict | None = None):
     """Starts the streaming query; `root` gets the checkpoint and the output. See `kept` and `repeated` for reading it."""
     spark = stream.sparkSession
+    buckets = _buckets(spark, root, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
         now = f"{root}/batches/batch={number}"
@@ -120,6 +124,24 @@ def deduplicate(stream: DataFrame, keys: Sequence[str], event_time: str, root: s
     )
 
 
+def _buckets(spark, root: str, wanted: int | None) -> int:
+    """The number of buckets with which the first run began; identifiers keep to their bucket over restarts, whatever the session's settings are."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/buckets")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    number = wanted or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = fs.create(path, False)
+    out.write(bytearray(str(number), "utf-8"))
+    out.close()
+    return number
+
+
 def _batches(spark, root: str, before: int | None = None) -> DataFrame | None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/batches")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
