@@ -177,9 +177,9 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
             domains, x = batch.column(0).to_pylist(), _matrix(batch.column(2), dim)
             leaf = np.zeros(len(x), np.int64)
             names = np.array(domains, object)
-            for domain, tree in trees.value.items():
+            for domain in trees.value.keys() & set(domains):
                 some = np.flatnonzero(names == domain)
-                leaf[some] = tree.home(x[some])
+                leaf[some] = trees.value[domain].home(x[some])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf), batch.column(1), batch.column(2)], names=["domain", "leaf", "unit", "vector"])
 
     homes = units.select("domain", "unit", "vector").mapInArrow(place, "domain string, leaf long, unit long, vector array<float>")
@@ -207,9 +207,9 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
             for batch in batches:
                 names, x = np.array(batch.column("domain").to_pylist(), object), _matrix(batch.column("vector"), dim)
                 home, radius = batch.column("leaf").to_numpy(), batch.column("radius").to_numpy()
-                for domain, tree in trees.value.items():
+                for domain in trees.value.keys() & set(names):
                     some = np.flatnonzero(names == domain)
-                    for leaf, who in tree.visits(x[some], factor * radius[some]):
+                    for leaf, who in trees.value[domain].visits(x[some], factor * radius[some]):
                         who = some[who]
                         who = who[home[who] != leaf]
                         if len(who):
@@ -257,9 +257,15 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
 
 
 def fit_routing(units: DataFrame, dim: int, capacity: int = CAPACITY, sample: int = SAMPLE) -> dict[str, Tree]:
-    """A tree per domain over a sample of about PER_SHARD vectors a shard, chosen by hash; its leaves are the shards."""
-    counts = {r[0]: r[1] for r in units.groupBy("domain").count().collect()}
+    """A tree for each domain that fills more than a shard, over a sample of about PER_SHARD vectors a shard, chosen by hash; its leaves are the shards.
+
+    There are fewer such domains than vectors / capacity; all others are a shard each.
+    """
+    counts = {r[0]: r[1] for r in units.groupBy("domain").count().where(F.col("count") > capacity).collect()}
     total = sum(counts.values())
+    if not total:
+        return {}
+    units = units.where(F.col("domain").isin(list(counts))) if len(counts) <= 1_000 else units.join(F.broadcast(units.sparkSession.createDataFrame([(d,) for d in counts], "domain string")), "domain")
     wanted = min(sample, max(4_000, PER_SHARD * total // capacity))
     share = int(min(1.0, wanted / max(total, 1)) * (1 << 30))
     some = units.where(F.pmod(F.xxhash64(F.lit("sample"), "unit"), F.lit(1 << 30)) < share).select("domain", "vector").toArrow()
