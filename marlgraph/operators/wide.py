@@ -32,7 +32,7 @@ def name_key(c: Column) -> Column:
 
 def typed(value: Column, kind: str) -> Column:
     """The value as its declared type; null where it can't be read. Outer blanks are ignored."""
-    v = F.regexp_replace(value, r"^[\s ]+|[\s ]+$", "")
+    v = F.regexp_replace(value, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
     low = F.lower(v)
     if kind == "string":
         return F.when(v != "", value)
@@ -68,7 +68,7 @@ def wide(attributes: DataFrame, catalog: DataFrame) -> DataFrame:
     entities = cells.groupBy("tenant_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.col("w.attr_value").alias("value")))).alias("cells"))
     columns = {name: typed(F.col("cells")[name], kind) for name, kind, _ in declared}
     full = entities.select("tenant_id", "node_id", "cells", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("t"))
-    blank = lambda v: v.isNull() | v.rlike(r"^[\s ]*$")
+    blank = lambda v: v.isNull() | v.rlike(r"^[\s\u00a0]*$")
     failed = F.map_filter("cells", lambda k, v: ~blank(v) & F.coalesce(*[F.when(k == n, F.col("t")[n].isNull()) for n in columns], F.lit(False)))
     return full.select("tenant_id", "node_id", *[F.col("t")[n].alias(n) for n in columns], failed.alias("failed"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,16 @@ def append_to_log(stream: DataFrame, path: str, checkpoint: str, partition_keys:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def publish(events: DataFrame, path: str) -> tuple[int, str | None]:
+    """Appends a batch of events to a log: (number accepted, None), or (0, what failed). Counted while writing, and nothing is visible unless all is."""
+    seen = Observation("published")
+    try:
+        events.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        return seen.get["n"], None
+    except Exception as x:  # noqa: BLE001 - told to the caller, as the contract has it
+        return 0, str(x).split("\n")[0]
+
+
 def drop_repeats(stream: DataFrame, keys: tuple[str, ...] = ("src_table", "primary_key", "lsn"), event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """Each identifier once, by Spark's own state. Without a delay the state never expires; with one, copies further apart than it may both pass."""
     if event_time and delay:

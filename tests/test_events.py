@@ -60,3 +60,11 @@ def test_dispatch(spark, tmp_path):
     keep = lambda name: lambda df, n: seen.setdefault(name, sorted(r.v for r in df.collect()))
     ingest.dispatch(stream, f"{root}/ck", {"A": keep("A"), "other": keep("other")}).awaitTermination()
     assert seen == {"A": [1, 2], "other": [3, 4]}
+
+
+def test_publish_tells_counts_and_failures(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1), ("A", 2)], "src_table string, lsn long")
+    assert ingest.publish(rows, f"file://{tmp_path}/log") == (2, None) and ingest.publish(rows.limit(0), f"file://{tmp_path}/log") == (0, None)
+    bad = rows.withColumn("lsn", F.raise_error(F.lit("no")).cast("long"))
+    count, why = ingest.publish(bad, f"file://{tmp_path}/log")
+    assert count == 0 and why and spark.read.parquet(f"file://{tmp_path}/log").count() == 2
