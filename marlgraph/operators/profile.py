@@ -8,6 +8,8 @@ Cases: a column of nulls is neither unique nor a source; an empty table has no u
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from marlgraph.plans.catalog import Catalog, EdgeMapping, NodeMapping
 
 #: Error of the sketch, and how far below the count it rules uniqueness out.
 ERROR, DOUBT = 0.02, 0.85
+FAMILIES = ("whole", "text", "time", "number")
 
 
 def _family(kind: T.DataType) -> str | None:
@@ -28,11 +31,11 @@ def _family(kind: T.DataType) -> str | None:
     return "number" if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else None
 
 
-def profile(tables: dict[str, DataFrame]) -> dict[str, dict[str, dict]]:
-    """For each table and comparable column: count, sketched distinct, bounds, type family, and whether it is unique."""
+def profile(tables: dict[str, DataFrame], families: Collection[str] = FAMILIES) -> dict[str, dict[str, dict]]:
+    """For each table and comparable column: count, sketched distinct, bounds, type family, and whether it is unique. families: those looked at."""
     out: dict[str, dict[str, dict]] = {}
     for name, rows in tables.items():
-        columns = [f for f in rows.schema.fields if _family(f.dataType)]
+        columns = [f for f in rows.schema.fields if _family(f.dataType) in families]
         if not columns:
             out[name] = {}
             continue

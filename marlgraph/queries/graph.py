@@ -514,18 +514,33 @@ def profile_unique(spark, folder):
     return profile.as_frame(spark, profile.profile({t: table(spark, folder, t) for t in _PROFILED}))
 
 
+_PAIR = "source_table string, source_column string, target_table string, target_column string"
 _WHOLE = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey"]}
-_FK_SQL = " UNION ALL ".join(
-    f"SELECT '{s}' source_table, '{c}' source_column, '{t}' target_table, '{u}' target_column WHERE (SELECT count({c}) FROM {s}) > 0 AND (SELECT count({u}) = count(DISTINCT {u}) AND count({u}) > 0 FROM {t}) AND NOT EXISTS (SELECT 1 FROM {s} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {u} FROM {t} WHERE {u} IS NOT NULL))"
-    for s in _WHOLE for c in _WHOLE[s] for t in _WHOLE for u in _WHOLE[t] if s != t
-)
 
 
-@_query(_FK_SQL)
+def _fk_sql(columns: dict[str, list[str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{s}' source_table, '{c}' source_column, '{t}' target_table, '{u}' target_column WHERE (SELECT count({c}) FROM {s}) > 0 AND (SELECT count({u}) = count(DISTINCT {u}) AND count({u}) > 0 FROM {t}) AND NOT EXISTS (SELECT 1 FROM {s} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {u} FROM {t} WHERE {u} IS NOT NULL))"
+        for s in columns for c in columns[s] for t in columns for u in columns[t] if s != t
+    )
+
+
+@_query(_fk_sql(_WHOLE))
 def profile_fk(spark, folder):
-    """Inclusion dependencies among the whole-number columns."""
+    """Inclusion dependencies among the columns of _WHOLE, a selection; profile_fk_all has those of all tables."""
     tables = {t: table(spark, folder, t).select(*c) for t, c in _WHOLE.items()}
-    return spark.createDataFrame(profile.inclusions(tables, profile.profile(tables)), "source_table string, source_column string, target_table string, target_column string")
+    return spark.createDataFrame(profile.inclusions(tables, profile.profile(tables)), _PAIR)
+
+
+#: The whole-number columns of all profiled tables, written out for the SQL only.
+_ALL_WHOLE = _WHOLE | {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "part": ["p_partkey", "p_size"]}
+
+
+@_query(_fk_sql(_ALL_WHOLE))
+def profile_fk_all(spark, folder):
+    """Inclusion dependencies among the whole-number columns of all profiled tables, which are taken from their schemas."""
+    tables = {t: table(spark, folder, t) for t in _PROFILED}
+    return spark.createDataFrame(profile.inclusions(tables, profile.profile(tables, ["whole"])), _PAIR)
 
 
 @_query("SELECT * FROM (VALUES ('NODE Nation FROM nation WITH id = n_nationkey'), ('NODE Region FROM region WITH id = r_regionkey'), ('EDGE RefersTo_region FROM nation USING n_nationkey -> n_regionkey')) t(statement)")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -114,3 +116,12 @@ def test_profile(spark):
     assert profile.draft_mapping(found, pairs).text().split("\n")[-1] == "EDGE LocatedAt FROM customers USING customer_id -> address"
     assert profile.edge_label("sales_items", "x", "saless") == "PartOf" and profile.edge_label("a", "SoldToParty", "b") == "HasParty_SoldToParty" and profile.primary_id("t", []) == "UNKNOWN_ID"
     assert profile.as_frame(spark, found).where(F.col("is_unique")).count() == 2
+
+
+def test_inclusions_of_all_profiled_tables(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    pairs = set(map(tuple, entry.queries()["profile_fk_all"](spark, "/root/testdata/sf0.001").collect()))
+    assert {("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey")} <= pairs
