@@ -545,7 +545,28 @@ def profile_fk_all(spark, folder):
 
 @_query("SELECT * FROM (VALUES ('NODE Nation FROM nation WITH id = n_nationkey'), ('NODE Region FROM region WITH id = r_regionkey'), ('EDGE RefersTo_region FROM nation USING n_nationkey -> n_regionkey')) t(statement)")
 def profile_dsl(spark, folder):
+    """The draft mapping of three columns and one inclusion, a selection; profile_dsl_all has that of all tables."""
     tables = {"region": table(spark, folder, "region").select("r_regionkey"), "nation": table(spark, folder, "nation").select("n_nationkey", "n_regionkey")}
     found = profile.profile(tables)
     pairs = [p for p in profile.inclusions(tables, found) if p[0] == "nation" and p[1] == "n_regionkey"]
     return spark.createDataFrame([(x,) for x in profile.draft_mapping(found, pairs).text().split("\n")], "statement string")
+
+
+#: All columns of the profiled tables by type family, written out for the SQL only.
+_KINDS = {"whole": _ALL_WHOLE, "time": {"orders": ["o_orderdate"], "lineitem": ["l_shipdate"]}, "number": {"customer": ["c_acctbal"], "supplier": ["s_acctbal"], "orders": ["o_totalprice"], "lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "part": ["p_retailprice"]}}
+_KINDS["text"] = {t: [c for c in _T[t] if not any(c in k.get(t, []) for k in _KINDS.values())] for t in _PROFILED}
+_ORDER = ", ".join(f"('{t}', '{c}', {i})" for t in _PROFILED for i, c in enumerate(_T[t]))
+_NODES = ", ".join(f"('{t}', {i})" for i, t in enumerate(_PROFILED))
+
+
+@_query(f"""WITH u AS ({_UNIQUE_SQL}), fk AS ({" UNION ALL ".join(_fk_sql(k) for k in _KINDS.values())}),
+ids AS (SELECT n.t, coalesce((SELECT o.c FROM (VALUES {_ORDER}) o(t, c, i) JOIN u ON u.table_name = o.t AND u.column_name = o.c WHERE o.t = n.t AND u.is_unique
+  ORDER BY NOT (contains(o.t, o.c) OR contains(o.c, o.t) OR contains(o.c, 'id')), o.i LIMIT 1), 'UNKNOWN_ID') id FROM (VALUES {_NODES}) n(t, i)),
+e AS (SELECT *, row_number() OVER (PARTITION BY target_table ORDER BY source_table, source_column, target_column) k FROM fk)
+SELECT 'NODE ' || upper(t[1]) || t[2:] || ' FROM ' || t || ' WITH id = ' || id AS statement FROM ids
+UNION ALL SELECT DISTINCT 'EDGE RefersTo_' || target_table || CASE WHEN k > 1 THEN '_' || source_table || '_' || source_column ELSE '' END || ' FROM ' || source_table || ' USING ' || id || ' -> ' || source_column FROM e JOIN ids ON t = source_table""")
+def profile_dsl_all(spark, folder):
+    """The draft mapping of all profiled tables: a node for each, an edge for each inclusion among their columns of one type family."""
+    tables = {t: table(spark, folder, t) for t in _PROFILED}
+    found = profile.profile(tables)
+    return spark.createDataFrame([(x,) for x in profile.draft_mapping(found, profile.inclusions(tables, found)).text().split("\n")], "statement string")

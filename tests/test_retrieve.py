@@ -125,3 +125,15 @@ def test_inclusions_of_all_profiled_tables(spark):
         pytest.skip("no test tables")
     pairs = set(map(tuple, entry.queries()["profile_fk_all"](spark, "/root/testdata/sf0.001").collect()))
     assert {("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey")} <= pairs
+
+
+def test_draft_mapping_of_all_profiled_tables(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    lines = [r.statement for r in entry.queries()["profile_dsl_all"](spark, "/root/testdata/sf0.001").collect()]
+    assert {x.split()[3] for x in lines if x.startswith("NODE")} == {"region", "nation", "customer", "supplier", "orders", "lineitem", "part"}
+    edges = {(x.split()[3], x.split()[-1]) for x in lines if x.startswith("EDGE")}
+    assert {("region", "r_regionkey"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_suppkey")} <= edges
+    assert "EDGE RefersTo_supplier_lineitem_l_suppkey FROM lineitem USING UNKNOWN_ID -> l_suppkey" in lines
