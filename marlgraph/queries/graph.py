@@ -118,9 +118,15 @@ def path_self_join_kept(spark, folder):
 
 @_query(f"SELECT {_cols(('c', 'customer'), ('s', 'supplier'))} {_TWO} JOIN lineitem l2 ON p.p_partkey = l2.l_partkey JOIN supplier s ON l2.l_suppkey = s.s_suppkey WHERE c.c_custkey = 8 AND p.p_brand = 'Brand#2'")
 def path_three_hop(spark, folder):
+    """Three hops from one customer; path_three_hop_all starts from every customer."""
     return _match(spark, folder, "MATCH (c:Customer)-[:Placed]->(o:Order)-[:Contains]->(p:Part)-[x:SuppliedBy]->(s:Supplier) WHERE c.c_custkey = 8 AND p.p_brand = 'Brand#2' RETURN c, s")
 
 
+@_query(f"SELECT {_cols(('c', 'customer'), ('s', 'supplier'))} {_TWO} JOIN lineitem l2 ON p.p_partkey = l2.l_partkey JOIN supplier s ON l2.l_suppkey = s.s_suppkey WHERE p.p_brand = 'Brand#2'")
+def path_three_hop_all(spark, folder):
+    return _match(spark, folder, "MATCH (c:Customer)-[:Placed]->(o:Order)-[:Contains]->(p:Part)-[x:SuppliedBy]->(s:Supplier) WHERE p.p_brand = 'Brand#2' RETURN c, s")
+
+
 @_query(f"SELECT {_cols(('e', 'lineitem'))} FROM orders o JOIN lineitem e ON o.o_orderkey = e.l_orderkey JOIN part p ON e.l_partkey = p.p_partkey WHERE p.p_brand = 'Brand#3' AND o.o_orderstatus = 'O'")
 def path_edge_var(spark, folder):
     return _match(spark, folder, "MATCH (o:Order)-[e:Contains]->(p:Part) WHERE p.p_brand = 'Brand#3' AND o.o_orderstatus = 'O' RETURN e")
@@ -143,9 +149,15 @@ def path_in(spark, folder):
 
 @_query(f"SELECT {_cols(('p', 'part'), ('o', 'orders'))} FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE p.p_partkey = 8")
 def path_reverse(spark, folder):
+    """A hop against its direction from one part; path_reverse_all starts from every part."""
     return _match(spark, folder, "MATCH (p:Part)<-[:Contains]-(o:Order) WHERE p.p_partkey = 8 RETURN p, o", True)
 
 
+@_query(f"SELECT {_cols(('p', 'part'), ('o', 'orders'))} FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey")
+def path_reverse_all(spark, folder):
+    return _match(spark, folder, "MATCH (p:Part)<-[:Contains]-(o:Order) RETURN p, o", True)
+
+
 @_query(f"SELECT {_cols(('a', 'nation'), ('b', 'nation'))} FROM nation a JOIN (SELECT n_nationkey x, n_regionkey y FROM nation UNION ALL SELECT n_regionkey, n_nationkey FROM nation) e ON a.n_nationkey = e.x JOIN nation b ON e.y = b.n_nationkey")
 def path_both(spark, folder):
     return _match(spark, folder, "MATCH (a:Nation)-[:PartOf]-(b:Nation) RETURN a, b", True)
