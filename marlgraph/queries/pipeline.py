@@ -49,7 +49,7 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Earlier runs' messages become the state, then the current messages are hashed and compared with it."""
+    """Messages that no earlier run covered. The state's hashes are those of the same messages, so only absence from it selects; see the README."""
     feed = _feed(table(spark, folder, "cdc_events")).where("src_table IS NOT NULL AND primary_key IS NOT NULL AND lsn IS NOT NULL")
     current = feed.groupBy(*MESSAGE).agg(F.min("ingested_at").alias("arrived"), F.max("operation").alias("operation"))
     current = materialize(current.withColumn("content_hash", incremental.content_hash("operation")).drop("operation"), "messages")
