@@ -1,7 +1,7 @@
 """Personal information in free text: found by a character BiLSTM-CRF, checked by exact forms, replaced by typed placeholders.
 
-`fit` trains the tagger from labelled spans. Labels come from at most SAMPLE documents, chosen by hash, and the list of contacts (at most CONTACTS rows);
-both bounds only limit what the tagger learns from. Windows around spans are repeated with other values of the same type in
+`fit` trains the tagger from labelled spans. Labels come from at most SAMPLE documents, chosen by hash, and the list of contacts (at most CONTACTS rows, also by hash);
+both bounds only limit what the tagger learns from, and what it proposes is checked against the names of all contacts. Windows around spans are repeated with other values of the same type in
 their place, so that it learns forms and surroundings rather than the values.
 
 `find` reads every document whole. It is cut into even windows of at most WINDOW characters that overlap by OVERLAP or more; two windows
@@ -28,7 +28,7 @@ from marlgraph.llm.spread import spread
 from marlgraph.llm.tagger import Tagger, symbols_of
 from marlgraph.runtime import ship
 
-#: Documents from which labels are taken, and rows of contacts that are read.
+#: Documents from which labels are taken, and rows of contacts from which the tagger learns.
 SAMPLE, CONTACTS = 6_000, 100_000
 #: Training: windows, their length, steps of 128 windows.
 WINDOWS, LENGTH, STEPS = 24_000, 80, 700
@@ -152,7 +152,7 @@ def checked(text: str, proposed: list[tuple[int, int, str]], names: Names) -> li
 
 
 class Recogniser:
-    """A fitted tagger with its names, as sent to the executors (about 100 KB and the contacts)."""
+    """A fitted tagger with its names, as sent to the executors (about 100 KB and the distinct names)."""
 
     def __init__(self, tagger: Tagger, names: Names):
         self.tagger, self.names = tagger, names
@@ -168,15 +168,18 @@ def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps:
     rows = documents.where(F.length(text) > 0)
     share = min(1.0, SAMPLE / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).alias("t")).distinct().limit(2 * SAMPLE)
-    known = contacts.select("given_name", "family_name").limit(CONTACTS).collect()
-    people = sorted(((r[0], r[1]) for r in known if r[1]), key=lambda r: (r[0] or "", r[1]))
+    listed = contacts.select("given_name", "family_name").where("family_name <> ''")
+    # what is proposed is checked against every listed name, of which each counts once
+    names = Names([*((r[0], None) for r in listed.select("given_name").distinct().collect()), *((None, r[0]) for r in listed.select("family_name").distinct().collect())])
+    known = listed.orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").limit(CONTACTS).collect()
+    people = sorted(((r[0], r[1]) for r in known), key=lambda r: (r[0] or "", r[1]))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted(t for batch in batches for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(Recogniser(*fit(texts, people, steps)))]})
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, people, steps)[0])]})
 
     # in a task, whose numpy keeps to the cores that the task has
-    return pickle.loads(some.repartition(1).mapInArrow(learn, "model binary").first()[0])
+    return Recogniser(pickle.loads(some.repartition(1).mapInArrow(learn, "model binary").first()[0]), names)
 
 
 def _apply(documents: DataFrame, recogniser: Recogniser, key: str, text: str, schema: T.StructType, rows_of) -> DataFrame:

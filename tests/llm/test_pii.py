@@ -118,6 +118,15 @@ def test_fit_on_tables(spark):
     assert pii.fit_on(df.limit(0), contacts.limit(0), steps=3) is not None if df.limit(0).count() else True
 
 
+def test_names_beyond_the_training_bound_are_known(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CONTACTS", 2)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 60))], "doc_id long, text string")
+    people = [("Ana", "Qwux"), ("Bo", "Zyth"), ("Cy", "Vrmp"), ("Di", "Plok"), (None, "Hjeg"), ("Ed", None), ("Fay", "")]
+    contacts = spark.createDataFrame(people, "given_name string, family_name string")
+    names = pii.fit_on(df, contacts, steps=3).names
+    assert names.family == {"qwux", "zyth", "vrmp", "plok", "hjeg"} and names.given == {"ana", "bo", "cy", "di"}
+
+
 def test_name_above_a_street_keeps_to_its_line():
     text = "--\nTove Drayetti\nKranichgasse 12\nRuna Brockbley\nObere Siebgasse 22d\n030/23125-062"
     assert [(k, text[a:b]) for a, b, k in candidates(text, NAMES)] == [("person_name", "Tove Drayetti"), ("street_address", "Kranichgasse 12"), ("person_name", "Runa Brockbley"), ("street_address", "Obere Siebgasse 22d"), ("phone", "030/23125-062")]
