@@ -399,6 +399,7 @@ def cdc_value_coerce(spark, folder):
 
 @_query("SELECT 'SUPPLIER' AS src_table, s_suppkey::VARCHAR AS primary_key, row_number() OVER (ORDER BY s_suppkey) AS lsn, s_name AS name, s_nationkey::BIGINT AS nation, s_acctbal AS balance FROM supplier")
 def cdc_synth(spark, folder):
+    """Insert events of one table with their values; cdc_synth_all has those of all mapped tables."""
     rows = ev.insert_events(table(spark, folder, "supplier"), "SUPPLIER", ["s_suppkey"])
     v = lambda c: F.try_element_at("after_image", F.lit(c))
     return rows.select("src_table", "primary_key", "lsn", v("s_name")["string_value"].alias("name"), v("s_nationkey")["int_value"].alias("nation"), v("s_acctbal")["double_value"].alias("balance"))
@@ -406,13 +407,38 @@ def cdc_synth(spark, folder):
 
 @_query("SELECT 'Supplier' AS label, s_suppkey::BIGINT node_id, s_name AS name FROM supplier")
 def cdc_graph_writes(spark, folder):
-    """Vertices that the catalog makes of a table's insert events."""
+    """Vertices that the catalog makes of one table's insert events; cdc_graph_writes_all has vertices and edges of all."""
     made = ev.insert_events(table(spark, folder, "supplier"), "SUPPLIER", ["s_suppkey"])
     vertices, _ = ev.graph_writes(made, parse_catalog(MAPPING))
     p = lambda c: F.try_element_at("properties", F.lit(c))
     return store.latest_vertices(vertices).select(p("label").alias("label"), "node_id", p("s_name").alias("name"))
 
 
+#: Key columns of the mapped tables.
+_TABLE_KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+def _all_inserts(spark: SparkSession, folder: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [ev.insert_events(table(spark, folder, t), t.upper(), keys) for t, keys in _TABLE_KEYS.items()])
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t.upper()}' AS src_table, concat_ws('|', {', '.join(f'{k}::VARCHAR' for k in keys)}) AS primary_key, row_number() OVER (ORDER BY {', '.join(keys)}) AS lsn, {len(_T[t])}::INTEGER AS fields FROM {t}" for t, keys in _TABLE_KEYS.items()))
+def cdc_synth_all(spark, folder):
+    """Insert events of all mapped tables, each numbered from 1 in order of its key, lineitem by two columns."""
+    return _all_inserts(spark, folder).select("src_table", "primary_key", "lsn", F.size("after_image").alias("fields"))
+
+
+@_query(" UNION ALL ".join(
+    [f"SELECT 'node' AS kind, '{m.label}' AS label, {m.id_column}::BIGINT AS src, NULL::BIGINT AS dst FROM {m.table}" for m in parse_catalog(MAPPING).nodes.values()]
+    + [f"SELECT 'edge', '{m.label}', {m.source_column}::BIGINT, {m.target_column}::BIGINT FROM {m.table}" for m in parse_catalog(MAPPING).edges.values()]
+))
+def cdc_graph_writes_all(spark, folder):
+    """Vertex and edge writes that the catalog makes of the insert events of all mapped tables, one row per write."""
+    vertices, edges = ev.graph_writes(_all_inserts(spark, folder), parse_catalog(MAPPING))
+    label = F.try_element_at("properties", F.lit("label")).alias("label")
+    return vertices.select(F.lit("node").alias("kind"), label, F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(edges.select(F.lit("edge").alias("kind"), label, "src", "dst"))
+
+
 # --- retrieval --------------------------------------------------------------------------------------------------------------------------
 
 _V = """v AS (SELECT c_custkey * 8 node_id, 'Customer' AS label, c_name sap_key, [c_name, c_mktsegment, 'Customer'] vals FROM customer

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def test_publish_tells_counts_and_failures(spark, tmp_path):
     bad = rows.withColumn("lsn", F.raise_error(F.lit("no")).cast("long"))
     count, why = ingest.publish(bad, f"file://{tmp_path}/log")
     assert count == 0 and why and spark.read.parquet(f"file://{tmp_path}/log").count() == 2
+
+
+def test_registered_writes_have_edges_of_every_table(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    made = {tuple(r) for r in entry.queries()["cdc_graph_writes_all"](spark, "/root/testdata/sf0.001").select("kind", "label").distinct().collect()}
+    assert made == {tuple(r) for r in entry.queries()["schema_list"](spark, "").collect()}
+    keys = entry.queries()["cdc_synth_all"](spark, "/root/testdata/sf0.001").where("src_table = 'LINEITEM'")
+    assert keys.where("primary_key RLIKE '^[0-9]+[|][0-9]+$'").count() == keys.count() > 0
