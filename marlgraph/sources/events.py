@@ -48,8 +48,10 @@ def insert_events(rows: DataFrame, table: str, keys: list[str], txid: str = "INI
 
 
 def poll(log: DataFrame, after_lsn: int, limit: int = 1000) -> DataFrame:
-    """The next changes of a log in order of lsn."""
-    return log.where(F.col("lsn") > after_lsn).orderBy("lsn").limit(limit)
+    """The next changes of a log in order of lsn: at least `limit` where there are as many, and all of the last lsn, so that going on after it skips none."""
+    rest = log.where(F.col("lsn") > after_lsn)
+    last = rest.select("lsn").orderBy("lsn").limit(limit).agg(F.max("lsn").alias("_last"))
+    return rest.join(F.broadcast(last), F.col("lsn") <= F.col("_last")).drop("_last").orderBy("lsn")
 
 
 def from_json_lines(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -81,3 +81,11 @@ def test_registered_writes_have_edges_of_every_table(spark):
     assert made == {tuple(r) for r in entry.queries()["schema_list"](spark, "").collect()}
     keys = entry.queries()["cdc_synth_all"](spark, "/root/testdata/sf0.001").where("src_table = 'LINEITEM'")
     assert keys.where("primary_key RLIKE '^[0-9]+[|][0-9]+$'").count() == keys.count() > 0
+
+
+def test_poll_ends_with_a_whole_lsn(spark):
+    log = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "e"), (None, "f")], "lsn long, primary_key string")
+    seen, after = [], 0
+    while batch := events.poll(log, after, 2).collect():
+        seen, after = seen + sorted(r.primary_key for r in batch), batch[-1].lsn
+    assert seen == ["a", "b", "c", "d", "e"] and events.poll(log, 0, 1).count() == 1
