@@ -181,8 +181,8 @@ class GraphSession:
             raise ValueError("no embeddings are configured")
         return retrieve.recall(self.embeddings, vector, domain, k)
 
-    def answer(self, question: str, enable_embeddings: bool = False, llm: Callable[[str], str] | None = None) -> retrieve.RagResult:
-        return retrieve.answer(question, self.principal, self.policy, self.vertices, self.paths, self.embeddings, self.embed, llm, self.tenant_id, enable_embeddings)
+    def answer(self, question: str, enable_embeddings: bool = False, llm: Callable[[str], str] | None = None, max_fragments: int = retrieve.FRAGMENTS) -> retrieve.RagResult:
+        return retrieve.answer(question, self.principal, self.policy, self.vertices, self.paths, self.embeddings, self.embed, llm, self.tenant_id, enable_embeddings, max_fragments)
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> tuple[dict, list[tuple[str, str, str, str]], str]:

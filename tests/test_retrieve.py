@@ -1,3 +1,4 @@
+import inspect
 import os
 
 import pytest
@@ -137,3 +138,14 @@ def test_draft_mapping_of_all_profiled_tables(spark):
     edges = {(x.split()[3], x.split()[-1]) for x in lines if x.startswith("EDGE")}
     assert {("region", "r_regionkey"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_suppkey")} <= edges
     assert "EDGE RefersTo_supplier_lineitem_l_suppkey FROM lineitem USING UNKNOWN_ID -> l_suppkey" in lines
+
+
+def test_fragments_are_shared_among_candidates(spark, vertices):
+    from marlgraph.session import GraphSession
+
+    paths = spark.createDataFrame([("default", 1, ["Co", f"U{i}"], "k") for i in range(5)] + [("default", 2, ["Co", "V"], "k")], "tenant_id string, node_id long, path array<string>, sap_key string")
+    r = retrieve.answer("supplier", Principal("a", frozenset({"*"})), Policy(), vertices, paths, max_fragments=2)
+    assert [f.node_id for f in r.fragments] == [1, 2] and r.more_fragments
+    every = retrieve.answer("supplier", Principal("a", frozenset({"*"})), Policy(), vertices, paths, max_fragments=6)
+    assert [f.node_id for f in every.fragments] == [1] * 5 + [2] and not every.more_fragments
+    assert "max_fragments" in inspect.signature(GraphSession.answer).parameters
