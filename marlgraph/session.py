@@ -61,8 +61,7 @@ class GraphSession:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if exists else self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        if not self.policy.can_write(self.principal):
-            raise PermissionError(f"principal {self.principal.name} may not write")
+        self.policy.check_write(self.principal)
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def _one(self, name: str, schema: str, row: tuple) -> None:

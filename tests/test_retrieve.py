@@ -9,11 +9,9 @@ from marlgraph.functions.vectors import check_dimensions, hashed_embedding, squa
 from marlgraph.operators import profile, retrieve
 from marlgraph.operators.retrieve import Breaker, Policy, Principal
 
-#: Questions and the domains expected of them. Fixed values.
 CASES = [
-    ("show material allocation", "inventory"), ("find stock shortages", "inventory"), ("material and plant lookup", "inventory"), ("vendor delivery summary", "procurement"), ("supplier scorecard", "procurement"),
-    ("payment status by invoice", "finance"), ("invoice aging report", "finance"), ("plant capacity review", "manufacturing"), ("stock and material exceptions", "inventory"), ("supplier payment terms", "procurement"),
-    ("PLANT output forecast", "manufacturing"), ("something else", "general"), ("", "general"),
+    ("late deliveries of one vendor", "procurement"), ("SUPPLIER audit calendar", "procurement"), ("vendor invoice and payment", "procurement"), ("open invoice total", "finance"), ("repayments by quarter", "finance"), ("payment run for stock", "finance"),
+    ("immaterial changes", "inventory"), ("stocktaking at the plant", "inventory"), ("transplanted seedlings", "manufacturing"), ("Plant holidays", "manufacturing"), ("opening hours", "general"), (" ", "general"), ("", "general"),
 ]
 
 
@@ -51,15 +49,15 @@ def test_merge_and_access(spark):
     more = spark.createDataFrame([(2, "E", "inventory", "e2", []), (3, "E", None, "e3", []), (3, "E", None, "e3", [])], CANDIDATE)
     both = retrieve.merge(graph, more)
     assert rows_of(both.select("node_id", "label")) == [(1, "G"), (2, "G"), (3, "E")]
-    p = Principal("p", frozenset({"finance"}))
+    p = Principal.of("p", "finance")
     assert rows_of(Policy().permitted(both, p).select("node_id")) == [(1,)] and rows_of(Policy().denied(both, p).select("node_id")) == [(2,), (3,)]
-    assert Policy().permitted(both, Principal("x", frozenset({"*"}))).count() == 3
+    assert Policy().permitted(both, Principal.of("x", "*")).count() == 3
     assert both.where("node_id = 1").select(retrieve.candidate_line()).first()[0] == "- G#1 key=g1 path=A > B"
 
 
 def test_answer(spark, vertices):
     paths = spark.createDataFrame([("default", 1, ["Co", "U1"], "k"), ("default", 1, ["Co", "U2"], "k"), ("t", 1, ["other"], "k")], "tenant_id string, node_id long, path array<string>, sap_key string")
-    every, policy = Principal("a", frozenset({"procurement"})), Policy()
+    every, policy = Principal.of("a", "procurement"), Policy()
     r = retrieve.answer("supplier", every, policy, vertices, paths, llm=lambda text: "said")
     assert (r.domain, r.answer, r.degraded, len(r.candidates), len(r.fragments), r.more_fragments) == ("procurement", "said", False, 2, 2, False)
     assert r.prompt.split("\n")[:3] == ["Domain: procurement", "Query: supplier", "Candidates:"] and "- procurement: Co > U1 :: " in r.prompt
@@ -144,8 +142,8 @@ def test_fragments_are_shared_among_candidates(spark, vertices):
     from marlgraph.session import GraphSession
 
     paths = spark.createDataFrame([("default", 1, ["Co", f"U{i}"], "k") for i in range(5)] + [("default", 2, ["Co", "V"], "k")], "tenant_id string, node_id long, path array<string>, sap_key string")
-    r = retrieve.answer("supplier", Principal("a", frozenset({"*"})), Policy(), vertices, paths, max_fragments=2)
+    r = retrieve.answer("supplier", Principal.of("a", "*"), Policy(), vertices, paths, max_fragments=2)
     assert [f.node_id for f in r.fragments] == [1, 2] and r.more_fragments
-    every = retrieve.answer("supplier", Principal("a", frozenset({"*"})), Policy(), vertices, paths, max_fragments=6)
+    every = retrieve.answer("supplier", Principal.of("a", "*"), Policy(), vertices, paths, max_fragments=6)
     assert [f.node_id for f in every.fragments] == [1] * 5 + [2] and not every.more_fragments
     assert "max_fragments" in inspect.signature(GraphSession.answer).parameters

@@ -86,7 +86,7 @@ def test_search_edges_cases(spark):
 
 
 def test_session(spark, tmp_path):
-    writer = Principal("w", frozenset({"*"}))
+    writer = Principal.of("w", "*")
     s = GraphSession(spark, f"file://{tmp_path}/g", principal=writer, policy=Policy.of("w, x"))
     other = GraphSession(spark, f"file://{tmp_path}/g", tenant_id="t2", principal=writer, policy=Policy.of("*"))
     for a, b in [(1, 2), (1, 3), (3, 2), (1, 3)]:
