@@ -1,21 +1,26 @@
-"""Personal information in free text: found by a character BiLSTM-CRF, checked by exact forms, replaced by typed placeholders.
+"""Personal information in free text: found by a character BiLSTM-CRF and replaced by typed placeholders.
 
-`fit` trains the tagger from labelled spans. Labels come from at most SAMPLE documents, chosen by hash, and the list of contacts (at most CONTACTS rows, also by hash);
-both bounds only limit what the tagger learns from, and what it proposes is checked against the names of all contacts. Windows around spans are repeated with other values of the same type in
-their place, so that it learns forms and surroundings rather than the values.
+`fit` trains the tagger from labelled spans. Labels are the exact forms of `pii_grammar` in at most about SAMPLE documents, chosen by hash, which uses the listed contacts (at most
+CONTACTS rows, also by hash). Both bounds limit what is learned from, never what is read. Windows around spans are repeated with other values of the same type
+in their place, so that forms and surroundings are learned rather than values. WORKERS tasks train side by side on their own windows and meet in the middle of their weights
+after each of ROUNDS rounds; windows that go badly are drawn more often. The fitted weights are published under a hash of what they were learned from, so that
+further queries over the same tables read them instead of training again.
 
 `find` reads every document whole. It is cut into even windows of at most WINDOW characters that overlap by OVERLAP or more; two windows
-meet in the middle of what they share, which joins their decodings to one. A span so found is then looked at with its surroundings, and is
-kept with the exact bounds of the form it has there.
+meet in the middle of what they share, which joins their decodings to one. What the tagger reports, span and type, is the result: bounds inside a word move to the
+word's edge, surrounding punctuation is trimmed, and a span that can't be of its type at all (a phone number without digits) is dropped. No form or list is asked.
 
 Cases: null and blank texts have no spans; texts of any length and script are read; repeated documents each have theirs; overlapping spans don't occur; with no
-contacts or no labelled document the tagger learns from what there is, and names that can't be told are not found.
+contacts or no labelled document the tagger learns from what there is, and what can't be told is not found.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +30,33 @@ from pyspark.sql import types as T
 
 from marlgraph.llm.pii_grammar import TYPES, Names, candidates
 from marlgraph.llm.spread import spread
-from marlgraph.llm.tagger import Tagger, symbols_of
-from marlgraph.runtime import ship
+from marlgraph.llm.tagger import HIDDEN, Tagger, symbols_of
+from marlgraph.runtime import VersionedTable, shared_dir, ship
 
-#: Documents from which labels are taken, and rows of contacts from which the tagger learns.
+#: Documents from which labels are taken, and rows of contacts from which they are made.
 SAMPLE, CONTACTS = 6_000, 100_000
-#: Training: windows, their length, steps of 128 windows.
-WINDOWS, LENGTH, STEPS = 24_000, 80, 700
+#: Training: tasks, rounds, steps of a task in a round, windows drawn for a step; windows of a task at most, and their length.
+WORKERS, ROUNDS, STEPS, DRAWN = 8, 10, 120, 32
+POOL, LENGTH = 9_000, 96
 WINDOW, OVERLAP = 256, 48
 #: Windows that are tagged together.
 BATCH = 1_024
-#: Added to all tags but O: what is proposed is checked, so it may be more than what stays.
-BIAS = 0.8
-#: Characters on either side of a proposal with which it is checked.
-AROUND = 110
+TAGS = 1 + 2 * len(TYPES)
 
+Span = tuple[int, int, str]
 
-def fit(texts: list[str], contacts: list[tuple[str | None, str | None]], steps: int = STEPS, seed: int = 7) -> tuple[Tagger, Names]:
-    """The tagger and what is known of names, from labelled texts."""
+
+# --- learning ---------------------------------------------------------------------------------------------------------------------------
+
+
+def windows_of(texts: list[str], names: Names, people: list[tuple[str, str]], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, tags) of labelled windows: every text tiled, and windows around spans with the values of some exchanged for others."""
     rng = np.random.default_rng(seed)
-    names = Names(contacts)
     labelled = [(t, candidates(t, names)) for t in texts if t]
     values: dict[str, list[str]] = {k: [] for k in TYPES}
     for text, spans in labelled:
         for a, b, kind in spans:
             values[kind].append(text[a:b])
-    people = [(g, f) for g, f in contacts if g and f]
 
     def another(kind: str) -> str:
         if kind == "person_name" and people and rng.random() < 0.6:
@@ -61,30 +67,34 @@ def fit(texts: list[str], contacts: list[tuple[str | None, str | None]], steps:
         value = values[kind][rng.integers(len(values[kind]))]
         return "".join(str(rng.integers(10)) if c.isdigit() and rng.random() < 0.5 else c for c in value)
 
+    def exchanged(text: str, spans: list[Span], j: int) -> tuple[str, list[Span]]:
+        """Other values in the place of span j and of its neighbours."""
+        parts, moved, at, shift = [], [], 0, 0
+        for k, (a, b, kind) in enumerate(spans):
+            new = another(kind) if abs(k - j) <= 2 else text[a:b]
+            parts += [text[at:a], new]
+            moved.append((a + shift, a + shift + len(new), kind))
+            shift += len(new) - (b - a)
+            at = b
+        return "".join([*parts, text[at:]]), moved
+
+    tiles = [(i, at) for i, (t, _) in enumerate(labelled) for at in range(-int(rng.integers(LENGTH // 2)), len(t), LENGTH - 16)]
     spots = [(i, j) for i, (_, spans) in enumerate(labelled) for j in range(len(spans))]
-    with_text = [i for i, (t, _) in enumerate(labelled) if len(t) > 8]
-    if not with_text:
-        return Tagger(1 + 2 * len(TYPES)), names
-    x, y = np.zeros((WINDOWS, LENGTH), np.int16), np.zeros((WINDOWS, LENGTH), np.int64)
-    for w in range(WINDOWS):
-        if spots and w % 3:
+    around = min(POOL // 2, 6 * len(spots))
+    if len(tiles) > POOL - around:
+        tiles = [tiles[k] for k in np.sort(rng.choice(len(tiles), POOL - around, replace=False))]
+    x, y = np.zeros((len(tiles) + around, LENGTH), np.int16), np.zeros((len(tiles) + around, LENGTH), np.int8)
+    for w in range(len(x)):
+        if w < len(tiles):
+            (i, begin), (text, spans) = tiles[w], labelled[tiles[w][0]]
+        else:
             i, j = spots[rng.integers(len(spots))]
             text, spans = labelled[i]
-            if w % 2:  # another value in the place of this one and of its neighbours
-                parts, moved, at = [], [], 0
-                shift = 0
-                for k, (a, b, kind) in enumerate(spans):
-                    new = another(kind) if abs(k - j) <= 2 else text[a:b]
-                    parts += [text[at:a], new]
-                    moved.append((a + shift, a + shift + len(new), kind))
-                    shift += len(new) - (b - a)
-                    at = b
-                text, spans = "".join([*parts, text[at:]]), moved
+            if w % 4:
+                text, spans = exchanged(text, spans, j)
             a, b, _ = spans[j]
-            begin = max(0, a - int(rng.integers(0, LENGTH - min(LENGTH - 1, b - a))))
-        else:
-            text, spans = labelled[with_text[rng.integers(len(with_text))]]
-            begin = int(rng.integers(0, max(1, len(text) - LENGTH // 2)))
+            begin = a - int(rng.integers(0, LENGTH - min(LENGTH - 1, b - a)))
+        begin = max(0, begin)
         piece = text[begin : begin + LENGTH]
         x[w, : len(piece)] = symbols_of(piece)
         for a, b, kind in spans:
@@ -94,12 +104,95 @@ def fit(texts: list[str], contacts: list[tuple[str | None, str | None]], steps:
                 y[w, max(a, 0) : min(b, LENGTH)] = tag + 1
                 if a >= 0:
                     y[w, a] = tag
-    tagger = Tagger(1 + 2 * len(TYPES))
-    tagger.train(x, y, x > 0, steps)
-    return tagger, names
-
-
-def proposals(tagger: Tagger, texts: list[str], bias: float = BIAS) -> list[list[tuple[int, int, str]]]:
+    return x, y
+
+
+def train_round(state: tuple[dict, dict] | None, x: np.ndarray, y: np.ndarray, worker: int, round_: int, steps: int = STEPS, rounds: int = ROUNDS, hidden: int = HIDDEN) -> tuple[dict, dict]:
+    """A task's share of a round: (weights, moments) after `steps` steps from the common start, with badly read windows drawn more often."""
+    tagger = Tagger(TAGS, hidden)
+    moments = None
+    if state is not None:
+        tagger.p, moments = {k: v.copy() for k, v in state[0].items()}, {k: tuple(m.copy() for m in v) for k, v in state[1].items()}
+    weights = np.ones(len(x))
+    if round_ >= 1:
+        weights = 0.05 + np.minimum(tagger.losses(x, y), 4.0)
+    moments = tagger.train(x, y, steps, round_ * steps, rounds * steps, DRAWN, seed=1000 * round_ + worker, weights=weights, moments=moments)
+    return tagger.p, moments
+
+
+def _tagger(parameters: dict | None, hidden: int = HIDDEN) -> Tagger:
+    tagger = Tagger(TAGS, hidden)
+    if parameters is not None:
+        tagger.p = parameters
+    return tagger
+
+
+def fit(texts: list[str], contacts: list[tuple], steps: int = STEPS, rounds: int = ROUNDS) -> Tagger:
+    """The same training in this process by one worker, for texts at hand. contacts: (given name, family name[, company])."""
+    x, y = windows_of(sorted(set(texts)), Names(contacts), [(c[0], c[1]) for c in contacts if c[0] and c[1]], 0)
+    state = None
+    for r in range(rounds if len(x) else 0):
+        state = train_round(state, x, y, 0, r, steps, rounds)
+    return _tagger(state and state[0])
+
+
+def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps: int = STEPS, rounds: int = ROUNDS) -> Recogniser:
+    """Trains on a sample of about SAMPLE distinct texts, chosen by their hash alone, so that it doesn't depend on order; or reads what was trained from the same."""
+    spark = documents.sparkSession
+    ship(spark)
+    rows = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    share = int(min(1.0, SAMPLE / max(1, rows.agg(F.approx_count_distinct("h", 0.02)).first()[0])) * (1 << 30))
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < share).dropDuplicates(["h"])
+    listed = contacts.where("family_name <> ''").select("given_name", "family_name", (F.col("company") if "company" in contacts.columns else F.lit(None).cast("string")).alias("company")).distinct()
+    known = listed.withColumn("h", F.xxhash64("given_name", "family_name", "company")).orderBy("h", "family_name", "given_name", "company").limit(CONTACTS).drop("h").collect()
+    people = [tuple(r) for r in known]
+
+    learned_from = hashlib.sha256(repr((people, steps, rounds, WORKERS, POOL, LENGTH, HIDDEN)).encode())
+    facts = some.agg(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1_000_003)))).first()
+    learned_from.update(repr(tuple(facts)).encode())
+    store = VersionedTable(spark, f"{shared_dir(spark)}/pii-models/{learned_from.hexdigest()[:24]}")
+    if (kept := store.read()) is not None:
+        return Recogniser(_tagger(pickle.loads(kept.first()["model"])))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, worker = [], 0
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            worker = batch.column(1)[0].as_py() if batch.num_rows else worker
+        if texts:
+            x, y = windows_of(sorted(texts), Names(people), [(g, f) for g, f, _ in people if g], worker)
+            yield pa.RecordBatch.from_pydict({"worker": pa.array([worker], pa.int32()), "windows": [zlib.compress(pickle.dumps((x, y)), 1)]})
+
+    shares = some.select("t", F.pmod(F.xxhash64(F.lit("worker"), "t"), F.lit(WORKERS)).cast("int").alias("worker")).repartitionById(WORKERS, F.col("worker"))
+    # at most WORKERS rows of POOL windows, 3 bytes a character: 21 MB before compression
+    windows = {r["worker"]: r["windows"] for r in shares.mapInArrow(prepare, "worker int, windows binary").collect()}
+    state = None
+    if windows:
+        pool = spark.sparkContext.broadcast(windows)
+        tasks = spark.range(0, WORKERS, 1, WORKERS)
+        for r in range(rounds):
+            start = spark.sparkContext.broadcast(pickle.dumps(state))
+
+            def learn(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for worker in batch.column(0).to_pylist():
+                        if worker in pool.value:
+                            x, y = pickle.loads(zlib.decompress(pool.value[worker]))
+                            yield pa.RecordBatch.from_pydict({"worker": [worker], "state": [pickle.dumps(train_round(pickle.loads(start.value), x, y, worker, r, steps, rounds))]})
+
+            # WORKERS rows of about 300 KB
+            parts = sorted(tasks.mapInArrow(learn, "worker long, state binary").collect())
+            state = Tagger.mean([pickle.loads(p["state"]) for p in parts])
+            start.unpersist()
+        pool.unpersist()
+    store.replace(spark.createDataFrame([(pickle.dumps(state and state[0]),)], "model binary"))
+    return Recogniser(_tagger(state and state[0]))
+
+
+# --- reading ----------------------------------------------------------------------------------------------------------------------------
+
+
+def proposals(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     """Spans of each text as the tagger sees them."""
     marks = [symbols_of(t) for t in texts]
     tags = [np.zeros(len(m), np.int8) for m in marks]
@@ -118,7 +211,7 @@ def proposals(tagger: Tagger, texts: list[str], bias: float = BIAS) -> list[list
         x = np.zeros((len(part), part[-1][0]), np.int16)
         for r, (size, i, at, _, _) in enumerate(part):
             x[r, :size] = marks[i][at : at + size]
-        found = tagger.decode(x, bias)
+        found = tagger.decode(x)
         for r in np.flatnonzero(found.any(1)):
             _, i, at, low, high = part[r]
             tags[i][low:high] = found[r, low - at : high - at]
@@ -130,59 +223,45 @@ def proposals(tagger: Tagger, texts: list[str], bias: float = BIAS) -> list[list
     return out
 
 
-def checked(text: str, proposed: list[tuple[int, int, str]], names: Names) -> list[tuple[int, int, str]]:
-    """Exact spans that proposals touch, told from the proposals' surroundings."""
-    areas: list[list[int]] = []
-    for a, b, _ in proposed:
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
-        while a > 0 and not text[a - 1].isspace():
+#: What a value of each type has at least. Fixed values.
+AT_LEAST = {"email": re.compile(r"[@＠]|\b(?:at|AT)\b"), "phone": re.compile(r"(?:\d\D*){7}"), "id_number": re.compile(r"(?:\d\D*){4}"), "street_address": re.compile(r"\d.*[^\W\d_]{2}|[^\W\d_]{2}.*\d", re.S), "person_name": re.compile(r"[^\W\d_].*[^\W\d_]{2}", re.S)}
+#: Punctuation that may begin a value of each type; others are trimmed. Fixed values.
+OPENING = {"phone": "+("}
+_INITIAL = re.compile(r"(?<![^\W_])[^\W\d_]\.$")
+
+
+def tidy(text: str, spans: list[Span]) -> list[Span]:
+    """Spans at the edges of words, without surrounding punctuation; those that can't be of their type are left out. Spans of one type that meet inside a word are one."""
+    out: list[Span] = []
+    for a, b, kind in spans:
+        last = out[-1][1] if out else 0
+        while a > last and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
-        while b < len(text) and not text[b].isspace():
+        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
             b += 1
-        if areas and a <= areas[-1][1]:
-            areas[-1][1] = max(b, areas[-1][1])
-        else:
-            areas.append([a, b])
-    kept = []
-    for a, b in areas:
-        for c, d, kind in candidates(text[a:b], names):
-            if any(x < a + d and y > a + c for x, y, _ in proposed):
-                kept.append((a + c, a + d, kind))
-    return kept
+        if a < last:  # the word at the border went to the span before
+            a = out.pop()[0] if out[-1][2] == kind else last
+        while a < b and not (text[a].isalnum() or text[a] in OPENING.get(kind, "")):
+            a += 1
+        while b > a and not text[b - 1].isalnum() and not (text[b - 1] == ")" and "(" in text[a:b]) and not (kind == "person_name" and _INITIAL.search(text[a:b])):
+            b -= 1
+        if AT_LEAST[kind].search(text[a:b]):
+            out.append((a, b, kind))
+    return out
 
 
 class Recogniser:
-    """A fitted tagger with its names, as sent to the executors (about 100 KB and the distinct names)."""
+    """A fitted tagger, as sent to the executors (about 100 KB)."""
 
-    def __init__(self, tagger: Tagger, names: Names):
-        self.tagger, self.names = tagger, names
+    def __init__(self, tagger: Tagger):
+        self.tagger = tagger
 
-    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+    def spans(self, texts: list[str | None]) -> list[list[Span]]:
         texts = [t or "" for t in texts]
-        return [checked(t, p, self.names) if p else [] for t, p in zip(texts, proposals(self.tagger, texts))]
-
-
-def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps: int = STEPS) -> Recogniser:
-    """Trains on a sample of at most about SAMPLE documents, chosen by the hash of their text, so that it doesn't depend on order or size."""
-    ship(documents.sparkSession)
-    rows = documents.where(F.length(text) > 0)
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).alias("t")).distinct().limit(2 * SAMPLE)
-    listed = contacts.select("given_name", "family_name").where("family_name <> ''")
-    # what is proposed is checked against every listed name, of which each counts once
-    names = Names([*((r[0], None) for r in listed.select("given_name").distinct().collect()), *((None, r[0]) for r in listed.select("family_name").distinct().collect())])
-    known = listed.orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").limit(CONTACTS).collect()
-    people = sorted(((r[0], r[1]) for r in known), key=lambda r: (r[0] or "", r[1]))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(t for batch in batches for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, people, steps)[0])]})
-
-    # in a task, whose numpy keeps to the cores that the task has
-    return Recogniser(pickle.loads(some.repartition(1).mapInArrow(learn, "model binary").first()[0]), names)
+        return [tidy(t, p) if p else [] for t, p in zip(texts, proposals(self.tagger, texts))]
 
 
-def _apply(documents: DataFrame, recogniser: Recogniser, key: str, text: str, schema: T.StructType, rows_of) -> DataFrame:
+def _apply(documents: DataFrame, recogniser: Recogniser, key: str, text: str, schema: T.StructType, rows_of: Callable) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(recogniser))

@@ -1,6 +1,6 @@
 """Exact forms of personal information: what a span must look like, and the words around it, to count as its type.
 
-Used twice: on a bounded sample it labels the spans from which the recogniser is trained, and it checks what the recogniser proposes.
+They label the spans of a bounded sample, from which the recogniser is trained, and have no part in finding.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ STREET_ES = re.compile(r"(?<!\w)(?:Calle|C/|C\.|Avenida|Avda?\.?|Av\.|Plaza|Pza?
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "herrn", "frau", "mme", "mlle", "monsieur", "madame", "m", "sr", "sra", "srta", "señor", "señora", "don", "doña", "sir", "lady", "doktor", "ing", "dipl"}
 #: Words that begin a sentence or a salutation and so stand before a name without being part of it.
 BEFORE_NAMES = {"dear", "hi", "hello", "hola", "ask", "bonjour", "guten", "tag", "hallo", "liebe", "lieber", "cher", "chère", "estimado", "estimada", "from", "by", "with", "as", "per", "laut", "freigabe", "durch", "firmado", "según", "selon", "cordialement", "regards", "grüßen", "best", "thanks", "mit", "saludos", "the", "and", "to", "signed", "contact", "kontakt", "attn", "cc", "von", "an", "tell", "call", "mail", "see", "d'après"}
-COMPANY = {"filters", "pumps", "tools", "steel", "paper", "freight", "werke", "tosk", "gmbh", "ag", "ltd", "inc", "llc", "sa", "sl", "co", "kg", "group", "logistics", "systems", "industries", "supplies", "bearings", "valves", "motors", "street", "road", "lane", "avenue", "depot", "plant", "werk"}
+#: Words after a family name that make it a company or a place; the words of the listed companies come in addition.
+COMPANY = {"gmbh", "ag", "ltd", "inc", "llc", "sa", "sl", "co", "kg", "group", "street", "road", "lane", "avenue", "depot", "plant", "werk"}
 # --------------------------------------------------------------------------------------------------------------------------------------
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœŠšŽžŁłİıĀ-ſ"
@@ -70,6 +71,10 @@ NAME = re.compile(
 )
 
 
+_GOES_ON, _UNIT, _LINE_ENDS = re.compile(r"[ \t]*[,;a-z]"), re.compile(r"\s?(?:mm|cm|km|kg|pcs|EUR|USD|%)\b"), re.compile(r"[ \t\r]*(?:\n|$)")
+_FOLLOWING = re.compile(r"[ \t\u00a0]+([^\W\d_]+)")
+
+
 def fold(word: str) -> str:
     """Lower case without accents."""
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
@@ -78,10 +83,12 @@ def fold(word: str) -> str:
 class Names:
     """What is known of names: the listed ones, and how family names are put together, both learned from the list of contacts."""
 
-    def __init__(self, contacts: Iterable[tuple[str | None, str | None]]):
+    def __init__(self, contacts: Iterable[tuple]):
+        """contacts: (given name, family name), or with the company as a third."""
         contacts = list(contacts)
-        self.given = {fold(p) for g, _ in contacts if g for p in re.split(r"[\s-]+", g)}
-        self.family = {fold(p) for _, f in contacts if f for p in re.split(r"[\s-]+", f)}
+        self.given = {fold(p) for c in contacts if c[0] for p in re.split(r"[\s-]+", c[0])}
+        self.family = {fold(p) for c in contacts if c[1] for p in re.split(r"[\s-]+", c[1])}
+        self.company = COMPANY | {fold(p) for c in contacts if len(c) > 2 and c[2] for p in c[2].split()[1:]}
         heads, tails = defaultdict(set), defaultdict(set)
         for name in self.family:
             for i in range(3, len(name) - 2):
@@ -106,11 +113,11 @@ def _names(text: str, names: Names) -> Iterable[tuple[int, int]]:
         at = first_end  # a token that is no given name may still be a family name, or the next a given one
         given, family = (m["given"], m["family"]) if m["given"] else (m["given2"], m["family2"])
         where = "family" if m["given"] else "family2"
-        after = re.match(r"[ \t ]+([^\W\d_]+)", text[m.end() :])
+        after = _FOLLOWING.match(text, m.end())
         follows = fold(after[1]) if after else ""
         if not names.is_family(family) or fold(given.strip(".")) in BEFORE_NAMES or (fold(given.strip(".")) in TITLES and len(given) > 2):
             continue
-        if where == "family" and follows in COMPANY and text[m.end()] != "\n":
+        if where == "family" and follows in names.company and text[m.end()] != "\n":
             continue
         if "\n" in text[m.start() : m.end()]:
             if where == "family2" or not names.is_given(given):
@@ -119,7 +126,7 @@ def _names(text: str, names: Names) -> Iterable[tuple[int, int]]:
             continue  # two family names side by side: no given name among them
         if where == "family2" and len(given) > 2 and not names.is_given(given) and names.is_family(given):
             continue
-        if where == "family2" and follows and names.is_family(follows) and after and text[m.end() :][: after.end()].strip().istitle():
+        if where == "family2" and follows and names.is_family(follows) and after and after[0].strip().istitle():
             continue  # "A Family, Given Family": the second begins a name of its own
         yield m.start(), m.end()
         at = m.end()
@@ -129,38 +136,44 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str]]:
     """Spans of every type, sorted; where they overlap, the earlier type of TYPES, and of one type the longer, is kept."""
     found: list[tuple[int, int, str]] = []
 
+    taken = bytearray(len(text))
+
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in found)
+        return not any(taken[a:b])
+
+    def keep(a: int, b: int, kind: str) -> None:
+        taken[a:b] = b"\1" * (b - a)
+        found.append((a, b, kind))
 
     for m in EMAIL.finditer(text):
-        found.append((m.start(), m.end(), "email"))
+        keep(m.start(), m.end(), "email")
     for cue in ID_WORD.finditer(text):
         for start in re.finditer(r"(?<![\w-])(?=[A-Z0-9])", text[cue.start() : cue.start() + 90]):
             a = cue.start() + start.start()
             if not (m := ID_FORM.match(text, a)) or not re.search(r"\d", m[0]) or re.match(r"\d{4}-\d{2}-\d{2}$", m[0]):
                 continue
             if ID_CUE.search(text[max(0, a - 70) : a]) and free(a, m.end()):
-                found.append((a, m.end(), "id_number"))
+                keep(a, m.end(), "id_number")
                 break
     for pattern in (STREET_EN, STREET_EN_UPPER, STREET_FR, STREET_ES, STREET_DE):
         for m in pattern.finditer(text):
             a, b = m.span()
             if text[b - 1] == "." and not re.search(r"\b(?:St|Rd|Ave|Ln|Dr|Ct|Cl|Pl|Sq|Blvd|Str)\.$", m[0]):
                 b -= 1
-            elif text[b - 1] == "." and not re.match(r"[ \t]*[,;a-z]", text[b:]):
+            elif text[b - 1] == "." and not _GOES_ON.match(text, b):
                 b -= 1  # the stop ends the sentence
             if free(a, b):
-                found.append((a, b, "street_address"))
+                keep(a, b, "street_address")
     for m in PHONE.finditer(text):
         a, b = m.span()
         digits = sum(c.isdigit() for c in m[0])
         before = text[max(0, a - 48) : a]
-        if not 8 <= digits <= 15 or NOT_PHONE.search(before) or re.match(r"\s?(?:mm|cm|km|kg|pcs|EUR|USD|%)\b", text[b:]) or not free(a, b):
+        if not 8 <= digits <= 15 or NOT_PHONE.search(before) or _UNIT.match(text, b) or not free(a, b):
             continue
         sure = m[0].startswith(("+", "00 ", "0049", "0044", "0033", "0034", "(", "001")) or PHONE_CUE.search(before)
-        alone = re.search(r"(?:^|\n)[ \t]*$", before) and re.match(r"[ \t\r]*(?:\n|$)", text[b:])
+        alone = re.search(r"(?:^|\n)[ \t]*$", before) and _LINE_ENDS.match(text, b)
         if sure or alone:
-            found.append((a, b, "phone"))
+            keep(a, b, "phone")
     rest = list(text)
     for a, b, _ in found:
         rest[a:b] = "\0" * (b - a)

@@ -13,7 +13,7 @@ import numpy as np
 
 #: Symbols: 0 padding, 1 other; then letters, digits by one, blanks, line ends and the marks below.
 MARKS = ".,;:!?@+-_/()[]{}<>\"'=#&*%|\\~^$`´’"
-HIDDEN, SIZE = 32, 24
+HIDDEN, SIZE = 48, 24
 
 
 @lru_cache(1)
@@ -45,14 +45,6 @@ def symbols_of(text: str) -> np.ndarray:
     return np.where(points < 0x10000, symbol_table()[np.minimum(points, 0xFFFF)], 1).astype(np.int16)
 
 
-def _gates(z: np.ndarray, h: int) -> None:
-    """In place: sigmoid on the first three quarters, tanh on the last; by one tanh."""
-    z[:, : 3 * h] *= 0.5
-    np.tanh(z, out=z)
-    z[:, : 3 * h] += 1
-    z[:, : 3 * h] *= 0.5
-
-
 class Tagger:
     """Parameters of the network; `tags` is 1 + 2 * number of types."""
 
@@ -66,30 +58,6 @@ class Tagger:
             self.p["B" + d] = np.zeros(4 * hidden, np.float32)
             self.p["B" + d][hidden : 2 * hidden] = 1  # forget gates begin open
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        """One direction over x (length, batch), already reversed for the backward one."""
-        p, h = self.p, self.hidden
-        table = p["E"] @ p["X" + d] + p["B" + d]
-        length, batch = x.shape
-        state, cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
-        out = np.empty((length, batch, h), np.float32)
-        kept = []
-        weights = p["H" + d]
-        for t in range(length):
-            z = table[x[t]]
-            z += state @ weights
-            _gates(z, h)
-            i, f, o, g = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-            before = cell
-            cell = f * before
-            cell += i * g
-            bent = np.tanh(cell)
-            state = out[t]
-            np.multiply(o, bent, out=state)
-            if keep:
-                kept.append((z, before, bent))
-        return out, kept
-
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores (length, batch, tags) of x (length, batch). Each step's share is added at once, in buffers that are used again."""
         p, h = self.p, self.hidden
@@ -128,16 +96,35 @@ class Tagger:
 
     # --- training ---------------------------------------------------------------------------------------------------------------------
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Negative log likelihood of the tags y under the CRF, per character, and its gradients. mask: 1 where x is text (a prefix of each window)."""
+    def _states(self, x: np.ndarray):
+        """Both directions over x (length, batch) at once, the backward one on the reversed windows: gates (length, 2, batch, 4 hidden), cells, bent cells and outputs."""
         p, h = self.p, self.hidden
         length, batch = x.shape
-        f, keep_f = self._run(x, "f", True)
-        b, keep_b = self._run(x[::-1], "b", True)
-        both = np.concatenate([f, b[::-1]], axis=2)
-        e = both @ p["O"] + p["ob"]
-        T, n = p["T"], mask.sum()
-        # forward and backward shares, scaled at each step; characters beyond a text leave them as they are
+        z = np.empty((length, 2, batch, 4 * h), np.float32)
+        for d, name in enumerate("fb"):
+            np.take(p["E"] @ p["X" + name] + p["B" + name], x if d == 0 else x[::-1], axis=0, out=z[:, d], mode="clip")
+        weights = np.stack([p["Hf"], p["Hb"]])
+        cells, bent, out = (np.empty((length + k, 2, batch, h), np.float32) for k in (1, 0, 1))
+        cells[0], out[0] = 0, 0
+        add = np.empty((2, batch, 4 * h), np.float32)
+        for t in range(length):
+            gates = z[t]
+            np.matmul(out[t], weights, out=add)
+            gates += add
+            gates[..., : 3 * h] *= 0.5
+            np.tanh(gates, out=gates)
+            gates[..., : 3 * h] += 1
+            gates[..., : 3 * h] *= 0.5
+            np.multiply(gates[..., h : 2 * h], cells[t], out=cells[t + 1])
+            cells[t + 1] += gates[..., :h] * gates[..., 3 * h :]
+            np.tanh(cells[t + 1], out=bent[t])
+            np.multiply(gates[..., 2 * h : 3 * h], bent[t], out=out[t + 1])
+        return z, cells, bent, out
+
+    def _likelihood(self, e: np.ndarray, y: np.ndarray, mask: np.ndarray):
+        """Negative log likelihood of each window's tags under the CRF, with the forward and backward shares. Characters beyond a text leave them as they are."""
+        length, batch = y.shape
+        T = self.p["T"]
         most = e.max(2)
         near, X = np.exp(e - most[:, :, None]), np.exp(T)
         alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((length, batch), np.float32)
@@ -155,7 +142,21 @@ class Tagger:
         total = np.log(scale).sum(0) + (most * mask).sum(0)
         rows = np.arange(batch)
         gold = sum((e[t, rows, y[t]] + (T[y[t - 1], y[t]] if t else 0)) * mask[t] for t in range(length))
-        loss = float((total - gold).sum() / n)
+        return total - gold, alpha, beta, ahead, X
+
+    def losses(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Negative log likelihood of each window of x and y (windows, length)."""
+        return np.concatenate([self._likelihood(self.emissions(np.ascontiguousarray(part.T)), y[at : at + 1024].T.astype(np.int64), (part.T > 0).astype(np.float32))[0] for at in range(0, len(x), 1024) for part in [x[at : at + 1024]]])
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Negative log likelihood of the tags y under the CRF, per character, and its gradients. mask: 1 where x is text (a prefix of each window)."""
+        p, h = self.p, self.hidden
+        length, batch = x.shape
+        z, cells, bent, out = self._states(x)
+        both = np.concatenate([out[1:, 0], out[:0:-1, 1]], axis=2)
+        e = both @ p["O"] + p["ob"]
+        n, rows = mask.sum(), np.arange(batch)
+        loss, alpha, beta, ahead, X = self._likelihood(e, y, mask)
         de = alpha * beta * mask[:, :, None]
         np.subtract.at(de, (np.arange(length)[:, None], rows[None], y), mask)
         dT = X * (alpha[:-1].reshape(-1, self.tags).T @ ahead[1:].reshape(-1, self.tags))
@@ -163,52 +164,59 @@ class Tagger:
         de = (de / n).astype(np.float32)
         g = {"T": (dT / n).astype(np.float32), "O": both.reshape(-1, 2 * h).T @ de.reshape(-1, self.tags), "ob": de.sum((0, 1)), "E": np.zeros_like(p["E"])}
         dboth = de @ p["O"].T
-        for d, kept, dh, xs in (("f", keep_f, dboth[:, :, :h], x), ("b", keep_b, dboth[::-1, :, h:], x[::-1])):
-            out = f if d == "f" else b
-            dz = np.empty((length, batch, 4 * h), np.float32)
-            carry, dc = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
-            for t in range(length - 1, -1, -1):
-                z, before, bent = kept[t]
-                i, fo, o, c = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-                up = dh[t] + carry
-                dc = dc + up * o * (1 - bent * bent)
-                dz[t, :, :h], dz[t, :, h : 2 * h] = dc * c * i * (1 - i), dc * before * fo * (1 - fo)
-                dz[t, :, 2 * h : 3 * h], dz[t, :, 3 * h :] = up * bent * o * (1 - o), dc * i * (1 - c * c)
-                dc = dc * fo
-                carry = dz[t] @ p["H" + d].T
-            flat = dz.reshape(-1, 4 * h)
-            shifted = np.concatenate([np.zeros((1, batch, h), np.float32), out[:-1]]).reshape(-1, h)
-            g["H" + d], g["B" + d] = shifted.T @ flat, flat.sum(0)
+        up = np.stack([dboth[:, :, :h], dboth[::-1, :, h:]], axis=1)  # (length, 2, batch, hidden)
+        back = np.ascontiguousarray(np.stack([p["Hf"], p["Hb"]]).transpose(0, 2, 1))
+        carry, dc = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
+        dz = np.empty_like(z)
+        for t in range(length - 1, -1, -1):
+            i, f, o, c = (z[t, ..., k * h : (k + 1) * h] for k in range(4))
+            now = up[t] + carry
+            dc += now * o * (1 - bent[t] * bent[t])
+            d = dz[t]
+            d[..., :h], d[..., h : 2 * h] = dc * c * i * (1 - i), dc * cells[t] * f * (1 - f)
+            d[..., 2 * h : 3 * h], d[..., 3 * h :] = now * bent[t] * o * (1 - o), dc * i * (1 - c * c)
+            dc *= f
+            np.matmul(d, back, out=carry)
+        for k, (name, xs) in enumerate((("f", x), ("b", x[::-1]))):
+            flat = dz[:, k].reshape(-1, 4 * h)
+            g["H" + name], g["B" + name] = out[:-1, k].reshape(-1, h).T @ flat, flat.sum(0)
             per_symbol = np.zeros((SYMBOLS, 4 * h), np.float32)
             order = np.argsort(xs.ravel(), kind="stable")
             values = xs.ravel()[order]
             first = np.flatnonzero(np.r_[True, np.diff(values) != 0])
             per_symbol[values[first]] = np.add.reduceat(flat[order], first, axis=0)
-            g["X" + d] = p["E"].T @ per_symbol
-            g["E"] += per_symbol @ p["X" + d].T
-        return loss, g
+            g["X" + name] = p["E"].T @ per_symbol
+            g["E"] += per_symbol @ p["X" + name].T
+        return float(loss.sum() / n), g
 
-    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int, batch: int = 128, rate: float = 0.012, seed: int = 7) -> list[float]:
-        """Adam over `steps` batches of windows (windows, length); returns the losses."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int, first: int = 0, total: int | None = None, batch: int = 128, rate: float = 0.012, seed: int = 7, weights: np.ndarray | None = None, moments: dict | None = None) -> dict:
+        """Adam over `steps` batches of windows (windows, length), drawn by `weights`; steps `first` to `first + steps` of `total` on the schedule. Returns the moments, to go on with."""
         rng = np.random.default_rng(seed)
-        m, v = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}
-        losses, order, at = [], rng.permutation(len(x)), 0
-        for step in range(1, steps + 1):
-            if at + batch > len(order):
-                order, at = rng.permutation(len(x)), 0
-            some = order[at : at + batch]
-            at += batch
-            loss, g = self.gradients(x[some].T, y[some].T, mask[some].T.astype(np.float32))
-            losses.append(loss)
+        total = total or steps
+        state = moments or {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in self.p.items()}
+        chance = None if weights is None else weights / weights.sum()
+        for step in range(first + 1, first + steps + 1):
+            some = rng.choice(len(x), min(batch, len(x)), replace=chance is not None, p=chance)
+            inputs = np.ascontiguousarray(x[some].T)
+            _, g = self.gradients(inputs, y[some].T.astype(np.int64), (inputs > 0).astype(np.float32))
             norm = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
-            now = rate * min(1.0, step / 20) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))
+            now = rate * min(1.0, step / 20) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / total)))
             for k, w in g.items():
                 w = w * scale
-                m[k] = 0.9 * m[k] + 0.1 * w
-                v[k] = 0.99 * v[k] + 0.01 * w * w
-                self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return losses
+                m, v = state[k]
+                m *= 0.9
+                m += 0.1 * w
+                v *= 0.99
+                v += 0.01 * w * w
+                self.p[k] -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        return state
+
+    @staticmethod
+    def mean(parts: list[tuple[dict, dict]]) -> tuple[dict, dict]:
+        """Parameters and moments in the middle of those that several workers reached from one start."""
+        p = {k: np.mean([w[k] for w, _ in parts], axis=0, dtype=np.float32) for k in parts[0][0]}
+        return p, {k: tuple(np.mean([m[k][i] for _, m in parts], axis=0, dtype=np.float32) for i in (0, 1)) for k in p}
 
     # --- decoding ---------------------------------------------------------------------------------------------------------------------
 

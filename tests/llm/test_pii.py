@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import planted
 import pytest
 
 from marlgraph.llm import pii
@@ -84,15 +85,46 @@ def corpus(seed, n):
 
 @pytest.fixture(scope="module")
 def recogniser():
-    return pii.Recogniser(*pii.fit(corpus(1, 400), CONTACTS, steps=160))
+    return pii.Recogniser(pii.fit(corpus(1, 400), CONTACTS, steps=120, rounds=5))
 
 
 def test_held_out_recall(recogniser):
     texts = corpus(2, 200)
-    gold = [candidates(t, recogniser.names) for t in texts]
+    gold = [candidates(t, NAMES) for t in texts]
     got = recogniser.spans(texts)
     hit = sum(s in k for g, k in zip(gold, got) for s in g)
-    assert hit >= 0.97 * sum(map(len, gold)) and sum(map(len, got)) <= sum(map(len, gold))
+    assert hit >= 0.97 * sum(map(len, gold)) and hit >= 0.97 * sum(map(len, got))
+
+
+def test_what_is_found_is_the_networks(recogniser):
+    """Spans come from the weights: with none learned nothing is found, and forms that the labels don't know are found all the same."""
+    assert pii.Recogniser(pii._tagger(None)).tagger.p is not recogniser.tagger.p
+    unseen = "Order 5 waits for 7 units. Mail tove.drayetti@corp now. Ask Alwena Brockquist, not the hotline."
+    by_form = {unseen[a:b] for a, b, _ in candidates(unseen, NAMES)}
+    by_network = {unseen[a:b] for a, b, _ in recogniser.spans([unseen])[0]}
+    assert "Alwena Brockquist" in by_network and "Alwena Brockquist" not in by_form and by_network != by_form
+
+
+def test_planted_texts_are_their_own_truth(recogniser):
+    rows = planted.texts(50)
+    assert all(t[a:b] and not t[a:b][0].isspace() for t, spans in rows for a, b, _ in spans)
+    counts = planted.scores(rows, [s for _, s in rows])
+    assert all(p == f == both > 0 for p, f, both in counts.values())
+
+
+@pytest.mark.parametrize(
+    "text, spans, want",
+    [
+        ("by Runa Drayetti.", [(4, 10, "person_name")], ["Runa Drayetti"]),
+        ("by Runa Drayetti.", [(4, 12, "person_name")], ["Runa Drayetti"]),
+        ("(404) 555 0134,", [(0, 15, "phone")], ["(404) 555 0134"]),
+        ("Drayetti, B. left", [(0, 12, "person_name")], ["Drayetti, B."]),
+        ("no 12", [(0, 5, "phone")], []),
+        ("4 Kay Road", [(0, 4, "street_address"), (4, 10, "street_address")], ["4 Kay Road"]),
+    ],
+)
+def test_tidy(text, spans, want):
+    assert [text[a:b] for a, b, _ in pii.tidy(text, spans)] == want
 
 
 def test_windows_are_joined(recogniser):
@@ -114,17 +146,24 @@ def test_tables(spark, recogniser):
 def test_fit_on_tables(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 60))], "doc_id long, text string")
     contacts = spark.createDataFrame([(1, *c, "x") for c in CONTACTS], "contact_id long, given_name string, family_name string, company string")
-    assert pii.fit_on(df, contacts, steps=3).spans(["x"]) == [[]]
-    assert pii.fit_on(df.limit(0), contacts.limit(0), steps=3) is not None if df.limit(0).count() else True
+    first = pii.fit_on(df, contacts, steps=3, rounds=2)
+    again = pii.fit_on(df, contacts, steps=3, rounds=2)  # read, not trained
+    assert all((first.tagger.p[k] == again.tagger.p[k]).all() for k in first.tagger.p) and len(first.spans(["x", None])) == 2
+    assert pii.find(df, pii.fit_on(df.limit(0), contacts.limit(0), steps=3)).columns[1:3] == ["pii_type", "pii_text"]
 
 
-def test_names_beyond_the_training_bound_are_known(spark, monkeypatch):
+def test_contacts_only_label(spark, monkeypatch):
+    """The bound on contacts limits labels alone: whoever stands beyond it is found by the network like anyone else, since finding asks no list."""
     monkeypatch.setattr(pii, "CONTACTS", 2)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 60))], "doc_id long, text string")
-    people = [("Ana", "Qwux"), ("Bo", "Zyth"), ("Cy", "Vrmp"), ("Di", "Plok"), (None, "Hjeg"), ("Ed", None), ("Fay", "")]
-    contacts = spark.createDataFrame(people, "given_name string, family_name string")
-    names = pii.fit_on(df, contacts, steps=3).names
-    assert names.family == {"qwux", "zyth", "vrmp", "plok", "hjeg"} and names.given == {"ana", "bo", "cy", "di"}
+    people = [("Ana", "Qwux"), ("Bo", "Zyth"), ("Cy", "Vrmp"), (None, "Hjeg"), ("Ed", None), ("Fay", "")]
+    recogniser = pii.fit_on(df, spark.createDataFrame(people, "given_name string, family_name string"), steps=3, rounds=1)
+    assert set(vars(recogniser)) == {"tagger"}
+
+
+def test_long_texts_label_in_step_with_their_length():
+    text = corpus(5, 1)[0] + " Ask Runa Drayetti, not the hotline. SSN 953-15-0301 was typed." * 3000
+    assert len(candidates(text, NAMES)) >= 6000
 
 
 def test_name_above_a_street_keeps_to_its_line():
