@@ -3,8 +3,8 @@
 `fit` trains the tagger from labelled spans. Labels are the exact forms of `pii_grammar` in at most about SAMPLE documents, chosen by hash, which uses the listed contacts (at most
 CONTACTS rows, also by hash). Both bounds limit what is learned from, never what is read. Windows around spans are repeated with other values of the same type
 in their place, so that forms and surroundings are learned rather than values. WORKERS tasks train side by side on their own windows and meet in the middle of their weights
-after each of ROUNDS rounds; windows that go badly are drawn more often. The fitted weights are published under a hash of what they were learned from, so that
-further queries over the same tables read them instead of training again.
+after each of ROUNDS rounds; windows that go badly are drawn more often. Where the caller names a place for them, the fitted weights are published there under a hash of
+what they were learned from, and read by whoever would learn from the same.
 
 `find` reads every document whole. It is cut into even windows of at most WINDOW characters that overlap by OVERLAP or more; two windows
 meet in the middle of what they share, which joins their decodings to one. What the tagger reports, span and type, is the result: bounds inside a word move to the
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from marlgraph.llm.pii_grammar import TYPES, Names, candidates
 from marlgraph.llm.spread import spread
 from marlgraph.llm.tagger import HIDDEN, Tagger, symbols_of
-from marlgraph.runtime import VersionedTable, shared_dir, ship
+from marlgraph.runtime import VersionedTable, ship
 
 #: Documents from which labels are taken, and rows of contacts from which they are made.
 SAMPLE, CONTACTS = 6_000, 100_000
@@ -136,8 +136,8 @@ def fit(texts: list[str], contacts: list[tuple], steps: int = STEPS, rounds: int
     return _tagger(state and state[0])
 
 
-def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps: int = STEPS, rounds: int = ROUNDS) -> Recogniser:
-    """Trains on a sample of about SAMPLE distinct texts, chosen by their hash alone, so that it doesn't depend on order; or reads what was trained from the same."""
+def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps: int = STEPS, rounds: int = ROUNDS, keep: str | None = None) -> Recogniser:
+    """Trains on a sample of about SAMPLE distinct texts, chosen by their hash alone, so that it doesn't depend on order. keep: folder of fitted weights, where those learned from the same are read."""
     spark = documents.sparkSession
     ship(spark)
     rows = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
@@ -147,12 +147,13 @@ def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps:
     known = listed.withColumn("h", F.xxhash64("given_name", "family_name", "company")).orderBy("h", "family_name", "given_name", "company").limit(CONTACTS).drop("h").collect()
     people = [tuple(r) for r in known]
 
-    learned_from = hashlib.sha256(repr((people, steps, rounds, WORKERS, POOL, LENGTH, HIDDEN)).encode())
-    facts = some.agg(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1_000_003)))).first()
-    learned_from.update(repr(tuple(facts)).encode())
-    store = VersionedTable(spark, f"{shared_dir(spark)}/pii-models/{learned_from.hexdigest()[:24]}")
-    if (kept := store.read()) is not None:
-        return Recogniser(_tagger(pickle.loads(kept.first()["model"])))
+    store = None
+    if keep:
+        facts = some.agg(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1_000_003)))).first()
+        learned_from = hashlib.sha256(repr((tuple(facts), people, steps, rounds, WORKERS, POOL, LENGTH, DRAWN, HIDDEN)).encode())
+        store = VersionedTable(spark, f"{keep.rstrip('/')}/{learned_from.hexdigest()[:24]}")
+        if (kept := store.read()) is not None:
+            return Recogniser(_tagger(pickle.loads(kept.first()["model"])))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, worker = [], 0
@@ -185,7 +186,8 @@ def fit_on(documents: DataFrame, contacts: DataFrame, text: str = "text", steps:
             state = Tagger.mean([pickle.loads(p["state"]) for p in parts])
             start.unpersist()
         pool.unpersist()
-    store.replace(spark.createDataFrame([(pickle.dumps(state and state[0]),)], "model binary"))
+    if store is not None:
+        store.replace(spark.createDataFrame([(pickle.dumps(state and state[0]),)], "model binary"))
     return Recogniser(_tagger(state and state[0]))
 
 

@@ -143,11 +143,14 @@ def test_tables(spark, recogniser):
     assert pii.find(df.limit(0), recogniser).count() == 0
 
 
-def test_fit_on_tables(spark):
+def test_fit_on_tables(spark, tmp_path):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 60))], "doc_id long, text string")
     contacts = spark.createDataFrame([(1, *c, "x") for c in CONTACTS], "contact_id long, given_name string, family_name string, company string")
-    first = pii.fit_on(df, contacts, steps=3, rounds=2)
-    again = pii.fit_on(df, contacts, steps=3, rounds=2)  # read, not trained
+    keep = f"file://{tmp_path}/models"
+    first = pii.fit_on(df, contacts, steps=3, rounds=2, keep=keep)
+    again = pii.fit_on(df, contacts, steps=3, rounds=2, keep=keep)  # read, not trained
+    other = pii.fit_on(df.limit(30), contacts, steps=3, rounds=2, keep=keep)
+    assert len(list((tmp_path / "models").iterdir())) == 2 and any((first.tagger.p[k] != other.tagger.p[k]).any() for k in first.tagger.p)
     assert all((first.tagger.p[k] == again.tagger.p[k]).all() for k in first.tagger.p) and len(first.spans(["x", None])) == 2
     assert pii.find(df, pii.fit_on(df.limit(0), contacts.limit(0), steps=3)).columns[1:3] == ["pii_type", "pii_text"]
 
