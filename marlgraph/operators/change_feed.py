@@ -3,7 +3,8 @@
 Every bucket of keys is kept by an embedded DuckDB table with the key as primary key. A change is upserted under the condition that its
 sequence is later than the stored one; a delete is stored as a tombstone, so that an older change arriving later cannot bring the row back.
 The same upsert first runs on each input partition, so only one row per key and partition is shuffled and no key can fill a task.
-All buckets are exported as one version and published by one rename.
+A bucket begins with the rows and tombstones that the table has of it; the buckets that a feed touches are exported and published together by one commit, the others stay
+as they are. So feeds may come in any number, split and order. The number of buckets is kept by the table and doubles as it grows, which bounds a bucket's memory.
 
 Cases: operation 1 and 2 set the row whatever was there, 3 deletes it, 0, null and unknown codes change nothing; rows with a null key or
 sequence name no change and are left out (they are counted by `rejected`); of changes with the same sequence the higher operation code and
@@ -19,23 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlgraph.runtime import VersionedTable, scratch_path, ship
+from marlgraph.runtime import BucketedTable, scratch_path, shared_dir, ship
 
 INSERT, UPDATE, DELETE = 1, 2, 3
 #: Keys that one upsert table of an input partition holds before its states are passed on and a new one begins.
 STATES = 500_000
 #: Rows gathered for one upsert statement.
 ROWS = 100_000
+#: Memory of one embedded database; more goes to the shared folder where that is a file system's, else the task fails.
+MEMORY = "1GB"
+#: A feed of fewer changes than this times the number of buckets is looked through for the buckets that it touches.
+SPARSE = 8
 
 
-def _upserts(keys: Sequence[str], states: int | None):
-    """A function for mapInArrow: changes in, the latest change per key out. states: bound of the table, None for a whole bucket."""
+def _upserts(keys: Sequence[str], states: int | None, spill: str = ""):
+    """A function for mapInArrow: changes in, the latest change per key out. states: bound of the table, None for a whole bucket. spill: folder beyond MEMORY."""
     names = ", ".join(f'"{k}"' for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": False})
+        con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": False, "memory_limit": MEMORY, "temp_directory": spill})
         made = False
 
         def put(rows: pa.Table) -> None:
@@ -79,13 +84,17 @@ def _upserts(keys: Sequence[str], states: int | None):
 
 
 def apply_changes(feed: DataFrame, keys: Sequence[str], sequence: str, operation: str, payload: F.Column | None = None, buckets: int | None = None, publish_to: str | None = None) -> DataFrame:
-    """The rows that exist at the end of the feed: keys, `_seq` (sequence of the change that made the row) and `_payload` (string).
+    """The rows that exist after the feed: keys, `_seq` (sequence of the change that made the row) and `_payload` (string).
 
-    payload: what a row holds, as a string expression (for instance the row image as JSON). buckets: by default the session's number of
-    shuffle partitions. publish_to: root of the VersionedTable that gets the result, tombstones included, as column `_op`.
+    payload: what a row holds, as a string expression (for instance the row image as JSON). publish_to: root of the BucketedTable to which the feed is applied, on top of the feeds
+    before; without one, a table of the feed alone. buckets: of a new table at least, by default the session's number of shuffle partitions. Raises Conflict where
+    someone else published to the table meanwhile; applying the feed again, also a part of it, changes nothing that was right.
     """
     spark = feed.sparkSession
     ship(spark)
+    table = BucketedTable(spark, publish_to or scratch_path(spark, "applied"), keys)
+    number = table.head()
+    content = table.content(number)
     changes = feed.where(F.col(operation).isin(INSERT, UPDATE, DELETE) & F.col(sequence).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     changes = changes.select(
         *[F.col(k).cast("string").alias(k) for k in keys],
@@ -93,11 +102,31 @@ def apply_changes(feed: DataFrame, keys: Sequence[str], sequence: str, operation
         F.col(operation).cast("int").alias("_op"),
         F.when(F.col(operation) != DELETE, payload if payload is not None else F.lit(None).cast("string")).alias("_payload"),
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in changes.schema.fields])
-    partial = changes.mapInArrow(_upserts(keys, STATES), schema)
-    whole = partial.repartition(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).mapInArrow(_upserts(keys, None), schema)
-    table = VersionedTable(spark, publish_to or scratch_path(spark, "applied"))
-    return table.replace(whole).where(F.col("_op") != DELETE).drop("_op")
+    size = changes.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*keys)).alias("keys")).first()
+    n = table.buckets_for(content, size["keys"], buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bucket = table.bucket(n).alias("_bucket")
+    touched = None
+    if content.get("buckets") == n and size["n"] < SPARSE * n:
+        touched = {r[0] for r in changes.select(bucket).distinct().collect()}  # at most n
+    changes = changes.select("*", bucket)
+    shape = changes.schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in shape.fields])
+    rows = changes.mapInArrow(_upserts(keys, STATES), schema)
+    state = table.read_buckets(content, touched)
+    if state is not None:
+        rows = rows.unionByName(state.select(*[c for c in shape.names if c != "_bucket"], bucket))
+    folder = shared_dir(spark)
+    spill = folder.removeprefix("file://") + "/duckdb" if folder.startswith("file:") else ""
+    whole = rows.repartitionById(n, F.col("_bucket")).mapInArrow(_upserts(keys, None, spill), schema)
+    parts, kept = table.stage_buckets(whole)
+    table.publish(table.merged(content, n, touched, parts, kept), number)
+    return applied(spark, table.root, keys) if parts or content.get("parts") else spark.createDataFrame([], T.StructType([f for f in schema.fields if f.name not in ("_op", "_bucket")]))
+
+
+def applied(spark, root: str, keys: Sequence[str]) -> DataFrame | None:
+    """The rows that exist in a table to which feeds were applied; None before the first."""
+    rows = BucketedTable(spark, root, list(keys)).read()
+    return None if rows is None else rows.where(F.col("_op") != DELETE).drop("_op")
 
 
 def rejected(feed: DataFrame, keys: Sequence[str], sequence: str, operation: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Incremental loading: each run takes exactly the records added or changed since the last successful run.
 
-`IncrementalLoad` keeps a state of keys and content hashes as a versioned table. A run hashes the current rows, joins them to the state and
-selects those that are new or changed; only `commit`, called after the results are safe, swaps in the next state by one rename. A
-run that fails leaves the state as it was, so its records are selected again and none is skipped.
+`IncrementalLoad` keeps a state of keys and content hashes in hash buckets. A run hashes the current rows, joins them to the state and selects the keys that are new or
+changed; their rows are written down, and both the output and the next state are made of what was written, whatever the source holds by then. Output and state become visible by
+one commit: a run that fails before it leaves both as they were, so its records are selected again; none is skipped and none is put out twice. The commit builds on the one that the run began
+with, so of two runs at once the second gets a Conflict. Only the buckets of selected keys are rewritten.
 
 `covered` derives the first state from a log of earlier runs: a run covers the sequences in (from, to] that had arrived by its read time.
 Ranges may overlap, repeat and leave gaps. They are laid on blocks of GRANULE sequences: what covers whole blocks is split into aligned
@@ -10,17 +11,17 @@ power-of-two spans, what covers a part of one into at most 2 log2(GRANULE) nodes
 block, never a range join, and neither a hot table nor a run over an enormous range makes a large group.
 
 Cases: rows with a null key column are left out; equal rows of one key count once, different rows of one key in one run are hashed together; runs
-that haven't succeeded or lack a bound or read time cover nothing; empty tables work.
+that haven't succeeded or lack a bound or read time cover nothing; a run that selects nothing is a run with empty output; empty tables work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgraph.runtime import VersionedTable, scratch_path
+from marlgraph.runtime import BucketedTable, materialize, scratch_path
 
 BITS = 10
 GRANULE = 1 << BITS
@@ -28,17 +29,23 @@ GRANULE = 1 << BITS
 LEVELS = 63 - BITS
 
 
-def content_hash(*columns: str) -> F.Column:
-    """64-bit hash of the columns' values; a null differs from every value."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]) if columns else F.lit(0).cast("long")
+def content_hash(*columns: str | F.Column) -> F.Column:
+    """64-bit hash of the columns' values; a null differs from every value. Maps have to be given as sorted entries, see `hashable`."""
+    given = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(*[x for c in given for x in (c.isNull(), c)]) if given else F.lit(0).cast("long")
+
+
+def hashable(column: str) -> F.Column:
+    """A map's entries in order of their keys, so that equal maps have equal hashes."""
+    return F.array_sort(F.map_entries(column))
 
 
 class IncrementalLoad:
-    """Selection of new and changed rows against a persisted state; see the module's text."""
+    """Selection of new and changed rows against a persisted state; see the module's text. root: of the state and the outputs; None for a scratch folder."""
 
     def __init__(self, spark: SparkSession, root: str | None, keys: Sequence[str]):
-        self.keys = list(keys)
-        self.table = VersionedTable(spark, root or scratch_path(spark, "loaded"))
+        self.spark, self.keys = spark, list(keys)
+        self.table = BucketedTable(spark, root or scratch_path(spark, "loaded"), self.keys)
 
     def hashed(self, rows: DataFrame, content: Sequence[str]) -> DataFrame:
         """One row per key with the hash of its content. Equal rows count once; the hash of different rows doesn't depend on their order."""
@@ -46,26 +53,44 @@ class IncrementalLoad:
         rows = rows.select(*self.keys, content_hash(*content).alias("_h")).distinct()
         return rows.groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash"))
 
-    def bootstrap(self, hashed: DataFrame) -> None:
-        """Makes rows that earlier runs have processed the state."""
-        self.table.replace(hashed.select(*self.keys, "content_hash"))
-
-    def changes(self, hashed: DataFrame) -> DataFrame:
+    def changes(self, hashed: DataFrame, number: int | None = None) -> DataFrame:
         """Keys of `hashed` that the state doesn't hold with the same hash, as `change` new or changed."""
-        state = self.table.read()
+        state = self.table.read_buckets(self.table.content(number))
         if state is None:
             return hashed.withColumn("change", F.lit("new"))
-        state = state.withColumnRenamed("content_hash", "_old")
+        state = state.select(*self.keys, F.col("content_hash").alias("_old"))
         joined = hashed.join(state, self.keys, "left").where("_old IS NULL OR _old <> content_hash")
         return joined.withColumn("change", F.when(F.col("_old").isNull(), "new").otherwise("changed")).drop("_old")
 
-    def commit(self, hashed: DataFrame) -> None:
-        """The state after a successful run over `hashed`: its keys, and the earlier ones it doesn't have."""
-        state = self.table.read()
-        hashed = hashed.select(*self.keys, "content_hash")
+    def run(self, rows: DataFrame, content: Sequence[str], process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """One run: the output of `process` over the selected rows (with `change`), by default those rows themselves. When it returns, state and output are committed."""
+        number = self.table.head()
+        said = self.table.content(number)
+        rows = rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
+        if said.get("parts"):
+            keys = self.changes(self.hashed(rows, content), number).select(*self.keys, "change")
+            picked = rows.join(keys, self.keys, "inner")
+        else:
+            picked = rows.withColumn("change", F.lit("new"))
+        picked = materialize(picked, "picked")
+        output = self.table.stage(process(picked) if process else picked)
+        # the hashes of what was written down: had a row changed between the two reads, its present form is the one that was processed
+        fresh = materialize(self.hashed(picked, content), "hashes")
+        count = fresh.count()
+        n = self.table.buckets_for(said, count, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        bucket = self.table.bucket(n).alias("_bucket")
+        touched = {r[0] for r in fresh.select(bucket).distinct().collect()} if said.get("buckets") == n else None  # at most n
+        state = self.table.read_buckets(said, touched)
+        fresh = fresh.select(*self.keys, "content_hash", bucket)
         if state is not None:
-            hashed = hashed.unionByName(state.join(hashed, self.keys, "left_anti"))
-        self.table.replace(hashed)
+            fresh = fresh.unionByName(state.select(*self.keys, "content_hash", bucket).join(fresh.select(*self.keys), self.keys, "left_anti"))
+        parts, schema = self.table.stage_buckets(fresh.repartitionById(n, F.col("_bucket")))
+        self.table.publish(self.table.merged(said, n, touched, parts, schema, outputs=[*said.get("outputs", []), output]), number)
+        return self.spark.read.parquet(f"{self.table.root}/{output}")
+
+    def outputs(self) -> list[DataFrame]:
+        """What each committed run put out, in order."""
+        return [self.spark.read.parquet(f"{self.table.root}/{v}") for v in self.table.content().get("outputs", [])]
 
 
 def _nodes(low: str, high: str, levels: int, pair: bool) -> F.Column:

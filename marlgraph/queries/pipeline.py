@@ -24,6 +24,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("src_table", "primary_key", F.col("_seq").alias("lsn"))
 
 
+def p2_two_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same table from two feeds, of which the later half of the batches comes first; every message is in one of them."""
+    feed, root = _feed(table(spark, folder, "cdc_events")), scratch_path(spark, "two_feeds")
+    middle = feed.agg(F.percentile_approx("batch_id", 0.5)).first()[0]
+    late = F.coalesce(F.col("batch_id") > middle, F.lit(False))
+    for part in (feed.where(late), feed.where(~late)):
+        rows = change_feed.apply_changes(part, ["src_table", "primary_key"], "lsn", "operation", publish_to=root)
+    return rows.select("src_table", "primary_key", F.col("_seq").alias("lsn"))
+
+
 def p2_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The present rows with the number of fields of their image and its total of whole numbers (null without an image)."""
     feed = _feed(table(spark, folder, "cdc_events"))
@@ -48,16 +58,26 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("tenant_id", "source_id", "segment", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages that no earlier run covered. The state's hashes are those of the same messages, so only absence from it selects; see the README."""
+def _loads(spark: SparkSession, folder: str) -> DataFrame:
+    """The output of the second of two loads: the first took the copies that succeeded runs had read, the second takes what is new or changed against it in the whole feed."""
     feed = _feed(table(spark, folder, "cdc_events")).where("src_table IS NOT NULL AND primary_key IS NOT NULL AND lsn IS NOT NULL")
-    current = feed.groupBy(*MESSAGE).agg(F.min("ingested_at").alias("arrived"), F.max("operation").alias("operation"))
-    current = materialize(current.withColumn("content_hash", incremental.content_hash("operation")).drop("operation"), "messages")
+    image = [F.col("operation"), incremental.hashable("before_image"), incremental.hashable("after_image")]
+    copies = materialize(feed.groupBy(*MESSAGE, incremental.content_hash(*image).alias("content")).agg(F.min("ingested_at").alias("arrived")), "copies")
     log = table(spark, folder, "run_log").where(F.lower(F.trim("status")) == "succeeded")
     runs = log.select(canonical_table("src_table").alias("src_table"), F.col("from_lsn").alias("from_seq"), F.col("to_lsn").alias("to_seq"), "read_until")
     load = incremental.IncrementalLoad(spark, None, MESSAGE)
-    load.bootstrap(incremental.covered(current, runs, "src_table", "lsn", "arrived"))
-    return load.changes(current.drop("arrived")).select(*MESSAGE)
+    load.run(incremental.covered(copies, runs, "src_table", "lsn", "arrived"), ["content"])
+    return load.run(copies, ["content"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages that the second load finds new. One that an earlier run had processed and of which a later copy holds something else is changed, not new; p4_changes has both."""
+    return _loads(spark, folder).where("change = 'new'").select(*MESSAGE).distinct()
+
+
+def p4_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages per table that the second load finds new or changed."""
+    return _loads(spark, folder).groupBy("src_table", "change").agg(F.count_distinct("primary_key", "lsn").alias("messages"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,9 +110,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows if rows is not None else spark.createDataFrame([], "src_table string, primary_key string, lsn long")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p3_found, p3_degree, p3_neighbours, p4_found, p5_found, p5_report, p6_found, p6_wide, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_two_feeds, p2_rows, p3_found, p3_degree, p3_neighbours, p4_found, p4_changes, p5_found, p5_report, p6_found, p6_wide, p7_found)}
 
 _FEED = r"""feed AS (SELECT upper(trim(src_table)) src_table, regexp_replace(upper(trim(primary_key)), '(^|\|)0+([^|])', '\1\2', 'g') primary_key, lsn, operation, after_image, ingested_at FROM cdc_events)"""
+_ENTRIES = "list_sort(list_transform(map_keys({0}), lambda k: k || '=' || coalesce({0}[k]::VARCHAR, '')))::VARCHAR"
+_CONTENT = f"concat_ws('~', coalesce(operation::VARCHAR, ''), coalesce({_ENTRIES.format('before_image')}, 'none'), coalesce({_ENTRIES.format('after_image')}, 'none'))"
 _TENANT = "CASE WHEN tenant_id IS NULL OR tenant_id = '' THEN 'default' ELSE tenant_id END"
 _OCCUR = f"""occ AS (SELECT {_TENANT} tenant_id, source_id, 1::BIGINT n FROM edge_writes WHERE source_id IS NOT NULL
   UNION ALL SELECT {_TENANT}, node_id, len(out_edges)::BIGINT FROM adjacency_runs WHERE node_id IS NOT NULL AND len(out_edges) > 0)"""
@@ -150,6 +172,7 @@ def sql() -> dict[str, str]:
     last = "SELECT src_table, primary_key, max(lsn) lsn{} FROM feed WHERE operation IN (1, 2, 3) GROUP BY src_table, primary_key HAVING arg_max(operation, lsn) <> 3"
     return {
         "p2_found": f"WITH {_FEED} " + last.format(""),
+        "p2_two_feeds": f"WITH {_FEED} " + last.format(""),
         "p2_rows": f"WITH {_FEED}, n AS (SELECT * , len(map_keys(after_image))::BIGINT fields, list_sum(list_transform(map_values(after_image), lambda v: coalesce(v.int_value, 0)))::BIGINT whole FROM feed), l AS ("
         + last.format("").replace("FROM feed", "FROM n")
         + ") SELECT DISTINCT l.*, n.fields, CASE WHEN n.fields IS NOT NULL THEN coalesce(n.whole, 0) END whole_numbers FROM l JOIN n USING (src_table, primary_key, lsn)",
@@ -157,6 +180,11 @@ def sql() -> dict[str, str]:
         "p3_degree": f"WITH {_OCCUR}, {_PAIRS} SELECT tenant_id, source_id, sum(n)::BIGINT degree, coalesce(any_value(k), 0)::BIGINT neighbours FROM occ LEFT JOIN (SELECT tenant_id, source_id, count(*) k FROM pairs WHERE target_id IS NOT NULL GROUP BY ALL) USING (tenant_id, source_id) GROUP BY ALL",
         "p3_neighbours": f"WITH {_PAIRS}, p AS (SELECT *, (row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY target_id) - 1) // 1000 segment FROM pairs WHERE target_id IS NOT NULL) SELECT tenant_id, source_id, segment::BIGINT segment, string_agg(target_id::VARCHAR, ',' ORDER BY target_id) neighbours FROM p GROUP BY tenant_id, source_id, segment",
         "p4_found": f"WITH {_FEED}, m AS (SELECT src_table, primary_key, lsn, min(ingested_at) arrived FROM feed GROUP BY ALL), r AS (SELECT upper(trim(src_table)) t, from_lsn, to_lsn, read_until FROM run_log WHERE lower(trim(status)) = 'succeeded') SELECT * EXCLUDE (arrived) FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.t = m.src_table AND from_lsn < lsn AND lsn <= to_lsn AND arrived <= read_until)",
+        "p4_changes": f"""WITH {_FEED}, r AS (SELECT upper(trim(src_table)) t, from_lsn, to_lsn, read_until FROM run_log WHERE lower(trim(status)) = 'succeeded'),
+c AS (SELECT src_table, primary_key, lsn, {_CONTENT} content, min(ingested_at) arrived FROM (SELECT upper(trim(src_table)) src_table, regexp_replace(upper(trim(primary_key)), '(^|\\|)0+([^|])', '\\1\\2', 'g') primary_key, lsn, operation, before_image, after_image, ingested_at FROM cdc_events) GROUP BY ALL),
+m AS (SELECT c.*, EXISTS (SELECT 1 FROM r WHERE r.t = c.src_table AND from_lsn < lsn AND lsn <= to_lsn AND arrived <= read_until) seen FROM c),
+k AS (SELECT src_table, primary_key, lsn, CASE WHEN NOT bool_or(seen) THEN 'new' WHEN count(DISTINCT content) <> count(DISTINCT content) FILTER (seen) THEN 'changed' END change FROM m GROUP BY ALL)
+SELECT src_table, change, count(*) messages FROM k WHERE change IS NOT NULL AND src_table IS NOT NULL AND primary_key IS NOT NULL AND lsn IS NOT NULL GROUP BY ALL""",
         "p5_found": f"WITH {_ORPHANS} SELECT DISTINCT request_id, endpoint, kind FROM o",
         "p5_report": f"WITH {_ORPHANS} SELECT endpoint, kind, strftime(requested_at, '%Y-%m') \"month\", count(*) orphans, count(DISTINCT request_id) requests FROM (SELECT DISTINCT * FROM o) GROUP BY ALL",
         "p6_found": _wide_sql(filled),

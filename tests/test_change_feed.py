@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pytest
 from conftest import rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlgraph.functions.canonical import canonical_key
 from marlgraph.operators import change_feed
-from marlgraph.runtime import VersionedTable, scratch_path
+from marlgraph.runtime import BucketedTable, Conflict, VersionedTable, scratch_path
 
 SCHEMA = "src_table string, primary_key string, lsn long, operation int, v string, _seq string"
 
@@ -63,6 +64,54 @@ def test_publishing_is_all_or_nothing(spark):
     assert table.read().count() == 9 and table.prune() == 1 and table.read().count() == 9
 
 
+def test_second_of_two_writers_gets_a_conflict(spark):
+    table = VersionedTable(spark, scratch_path(spark, "t"))
+    before = table.head()
+    table.publish(table.stage(spark.range(3)), before)
+    late = table.stage(spark.range(4))
+    with pytest.raises(Conflict):
+        table.publish(late, before)
+    assert table.read().count() == 3 and table.publish(late) == 2 and table.read().count() == 4
+
+
+def upsert(df, root):
+    return change_feed.apply_changes(df, ["src_table", "primary_key"], "lsn", "operation", F.col("v"), buckets=3, publish_to=root)
+
+
+@given(st.lists(one, min_size=6, max_size=40), st.integers(2, 3))
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_feeds_in_any_split_equal_one(spark, rows, n):
+    root = scratch_path(spark, "feeds")
+    for k in range(n):
+        got = upsert(spark.createDataFrame(rows[k::n], SCHEMA), root)
+    assert rows_of(got) == expected(rows)
+
+
+def test_tombstones_outlive_a_feed(spark):
+    root = scratch_path(spark, "feeds")
+    upsert(spark.createDataFrame([("T", "a", 1, 1, "", ""), ("T", "b", 5, 3, "", "")], SCHEMA), root)
+    got = upsert(spark.createDataFrame([("T", "b", 4, 1, "", ""), ("T", "c", 1, 1, "", "")], SCHEMA), root)
+    assert [r[1] for r in rows_of(got)] == ["a", "c"]
+    assert rows_of(upsert(spark.createDataFrame([], SCHEMA), root)) == rows_of(got) == rows_of(change_feed.applied(spark, root, ["src_table", "primary_key"]))
+
+
+def test_untouched_buckets_keep_their_files_and_their_number_grows(spark, monkeypatch):
+    monkeypatch.setattr(BucketedTable, "ROWS", 20)
+    root, keys = scratch_path(spark, "feeds"), ["src_table", "primary_key"]
+    make = lambda ids, lsn: spark.createDataFrame([("T", str(i), lsn, 2, str(i), "") for i in ids], SCHEMA)
+    upsert(make(range(50), 1), root)
+    table = BucketedTable(spark, root, keys)
+    first = table.content()
+    upsert(make([7], 2), root)
+    second = table.content()
+    changed = {b for b in second["parts"] if second["parts"][b] != first["parts"][b]}
+    assert len(changed) == 1 and second["buckets"] == first["buckets"] == 4
+    upsert(make(range(50, 400), 3), root)
+    third = table.content()
+    assert third["buckets"] >= 16 and sum(n for _, n in third["parts"].values()) == 400 and max(n for _, n in third["parts"].values()) < 80
+    assert table.prune() >= 2 and sorted(int(r.primary_key) for r in change_feed.applied(spark, root, keys).collect()) == list(range(400))
+
+
 def test_canonical_keys(spark):
     rows = spark.createDataFrame([(" 0000000500|000010 ",), ("mat-1",), ("000",), ("0|00",), (None,), ("",)], "k string")
     assert [r[0] for r in rows.select(canonical_key("k")).collect()] == ["500|10", "MAT-1", "0", "0|0", None, ""]

@@ -1,12 +1,13 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
 from marlgraph.functions.skew import hot_keys, join_skewed
 from marlgraph.operators import heavy_keys, incremental, orphans, wide
-from marlgraph.runtime import scratch_path
+from marlgraph.runtime import Conflict, scratch_path
 from marlgraph.streaming import dedupe
 
 EDGES = "request_id long, tenant_id string, source_id long, target_id long, op string, requested_at timestamp_ntz, n string"
@@ -50,18 +51,65 @@ def test_covered_is_the_range_join(spark):
 
 def test_incremental_runs(spark):
     load = incremental.IncrementalLoad(spark, scratch_path(spark, "load"), ["k"])
-    make = lambda rows: load.hashed(spark.createDataFrame(rows, "k string, v string, content_hash string"), ["v"])
+    make = lambda rows: spark.createDataFrame(rows, "k string, v string, content_hash string")
+    picked = lambda df: rows_of(df.select("k", "change").distinct())
     one = make([("a", "1", ""), ("a", "1", "again"), ("b", None, ""), (None, "x", "")])
-    assert rows_of(load.changes(one).select("k", "change")) == [("a", "new"), ("b", "new")]
-    load.commit(one)
+    assert rows_of(load.changes(load.hashed(one, ["v"])).select("k", "change")) == [("a", "new"), ("b", "new")]
+    assert picked(load.run(one, ["v"])) == [("a", "new"), ("b", "new")]
     two = make([("a", "1", ""), ("b", "", ""), ("c", "x" * 100_000, "")])
-    assert rows_of(load.changes(two).select("k", "change")) == [("b", "changed"), ("c", "new")]
-    assert rows_of(load.changes(two).select("k", "change")) == [("b", "changed"), ("c", "new")]  # a failed run changes nothing
-    load.commit(two)
-    assert load.changes(two).count() == 0 and load.changes(one).where("k = 'a'").count() == 0
-    mixed = make([("d", "1", ""), ("d", "2", "")])
-    load.commit(mixed)
-    assert load.changes(make([("d", "2", ""), ("d", "1", ""), ("d", "1", "")])).count() == 0 and load.changes(make([("d", "1", "")])).count() == 1
+    assert picked(load.run(two, ["v"])) == [("b", "changed"), ("c", "new")]
+    assert load.run(two, ["v"]).count() == 0 and load.changes(load.hashed(one, ["v"])).where("k = 'a'").count() == 0
+    load.run(make([("d", "1", ""), ("d", "2", "")]), ["v"])
+    assert load.run(make([("d", "2", ""), ("d", "1", ""), ("d", "1", "")]), ["v"]).count() == 0 and picked(load.run(make([("d", "1", "")]), ["v"])) == [("d", "changed")]
+    assert [o.count() for o in load.outputs()] == [3, 2, 0, 2, 0, 1] and load.run(one.limit(0), ["v"]).count() == 0
+
+
+def test_a_failed_run_leaves_no_trace(spark):
+    """Failures before the commit and after it: output and state go together."""
+    root = scratch_path(spark, "load")
+    make = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    load = incremental.IncrementalLoad(spark, root, ["k"])
+    load.run(make([("a", "1")]), ["v"])
+    before = load.table.content()
+    with pytest.raises(Exception, match="no more"):
+        load.run(make([("a", "1"), ("b", "1")]), ["v"], lambda df: df.withColumn("x", F.raise_error(F.lit("no more")).cast("string")))
+    assert load.table.content() == before
+    published = load.table.publish
+    load.table.publish = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):  # everything is written, only the commit is missing
+        load.run(make([("a", "1"), ("b", "1")]), ["v"])
+    assert load.table.content() == before
+    load.table.publish = lambda *a: published(*a) / 0
+    with pytest.raises(ZeroDivisionError):  # the process died right after the commit
+        load.run(make([("a", "1"), ("b", "1")]), ["v"])
+    again = incremental.IncrementalLoad(spark, root, ["k"])
+    assert again.run(make([("a", "1"), ("b", "1")]), ["v"]).count() == 0
+    assert [rows_of(o.select("k")) for o in again.outputs()] == [[("a",)], [("b",)], []]
+
+
+def test_a_source_that_grows_during_a_run_loses_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/source"
+    add = lambda rows: spark.createDataFrame(rows, "k string, v string").write.mode("append").parquet(path)
+    read = lambda: spark.read.parquet(path)
+    add([("a", "1")])
+    load = incremental.IncrementalLoad(spark, scratch_path(spark, "load"), ["k"])
+
+    def slow(df):
+        add([("b", "1"), ("a", "2")])
+        return df
+
+    assert rows_of(load.run(read(), ["v"], slow).select("k", "v")) == [("a", "1")]
+    assert rows_of(load.run(read(), ["v"]).select("k", "v", "change")) == [("a", "1", "changed"), ("a", "2", "changed"), ("b", "1", "new")]
+    assert load.run(read(), ["v"]).count() == 0
+
+
+def test_of_two_runs_at_once_one_fails(spark):
+    root = scratch_path(spark, "load")
+    rows = spark.createDataFrame([("a", "1")], "k string, v string")
+    one, two = (incremental.IncrementalLoad(spark, root, ["k"]) for _ in range(2))
+    with pytest.raises(Conflict):
+        one.run(rows, ["v"], lambda df: two.run(rows, ["v"]))
+    assert len(one.outputs()) == 1
 
 
 def test_orphans_match_brute_force(spark):
