@@ -212,7 +212,28 @@ def test_stream_keeps_one_copy(spark, tmp_path):
     key = ["src_table", "primary_key", "lsn"]
     kept = rows_of(dedupe.kept(spark, f"{root}/out").select(*key))
     assert kept == sorted(set(everything), key=repr)
-    assert rows_of(dedupe.repeated(spark, f"{root}/out", key)) == sorted({k for k in everything if everything.count(k) > 1}, key=repr)
+    assert rows_of(dedupe.repeated(spark, f"{root}/out", key)) == sorted({(*k, everything.count(k) - 1) for k in everything if everything.count(k) > 1}, key=repr)
+
+
+def test_batches_without_late_copies_read_no_earlier_output(spark, tmp_path, monkeypatch):
+    """Twenty batches, days apart: only the one with a copy of something forgotten looks back, and only at that day."""
+    root, key, looked = f"file://{tmp_path}", ["src_table", "primary_key", "lsn"], []
+    whole = dedupe._batches
+    monkeypatch.setattr(dedupe, "_batches", lambda s, r, before=None: looked.append(before) or whole(s, r, before))
+    for k in range(20):
+        rows = [("A", f"{k}-{i}", 1, at(48 * k), 1) for i in range(50)] + ([("A", "3-7", 1, at(48 * k), 1)] if k == 15 else [])
+        spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    dedupe.deduplicate(_stream(spark, root), key, "ingested_at", f"{root}/out", "1 day", buckets=4).awaitTermination()
+    assert looked == [15] or (len(looked) == 1 and looked[0] is not None)
+    assert rows_of(dedupe.repeated(spark, f"{root}/out", key)) == [("A", "3-7", 1, 1)] and dedupe.kept(spark, f"{root}/out").count() == 1000
+
+
+def test_arrays_of_identifiers_merge():
+    import numpy as np
+
+    make = lambda pairs: np.array([(a, b, 0, 0) for a, b in pairs], dtype=dedupe._ENTRY)
+    both, fresh = dedupe._merge(make([(1, 5), (2, 1), (2, 9)]), make([(1, 5), (2, 0), (2, 9), (7, 7)]))
+    assert both[["a", "b"]].tolist() == [(1, 5), (1, 5), (2, 0), (2, 1), (2, 9), (2, 9), (7, 7)] and fresh.tolist() == [False, True, True, False, False, True, True]
 
 
 def test_stream_replay_overwrites_a_batch(spark, tmp_path):
