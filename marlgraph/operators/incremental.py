@@ -48,10 +48,17 @@ class IncrementalLoad:
         self.table = BucketedTable(spark, root or scratch_path(spark, "loaded"), self.keys)
 
     def hashed(self, rows: DataFrame, content: Sequence[str]) -> DataFrame:
-        """One row per key with the hash of its content. Equal rows count once; the hash of different rows doesn't depend on their order."""
-        rows = rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
-        rows = rows.select(*self.keys, content_hash(*content).alias("_h")).distinct()
-        return rows.groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash"))
+        """One row per key with the hash of its content. Equal rows count once; the hash of different rows doesn't depend on their order.
+
+        Keys whose rows are all equal, nearly all of them, take one exchange of one row per key and partition; only the others' rows are made distinct first.
+        """
+        rows = self._keyed(rows).select(*self.keys, content_hash(*content).alias("_h"))
+        ends = rows.groupBy(*self.keys).agg(F.min("_h").alias("_low"), F.max("_h").alias("_high"))
+        mixed = rows.join(ends.where("_low <> _high").select(*self.keys), self.keys, "left_semi").distinct()
+        return ends.where("_low = _high").select(*self.keys, F.col("_low").alias("content_hash")).unionByName(mixed.groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash")))
+
+    def _keyed(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
 
     def changes(self, hashed: DataFrame, number: int | None = None) -> DataFrame:
         """Keys of `hashed` that the state doesn't hold with the same hash, as `change` new or changed."""
@@ -66,31 +73,39 @@ class IncrementalLoad:
         """One run: the output of `process` over the selected rows (with `change`), by default those rows themselves. When it returns, state and output are committed."""
         number = self.table.head()
         said = self.table.content(number)
-        rows = rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
+        rows = self._keyed(rows)
         if said.get("parts"):
             keys = self.changes(self.hashed(rows, content), number).select(*self.keys, "change")
             picked = rows.join(keys, self.keys, "inner")
         else:
             picked = rows.withColumn("change", F.lit("new"))
-        picked = materialize(picked, "picked")
-        output = self.table.stage(process(picked) if process else picked)
+        if process is None:
+            output = self.table.stage(picked)
+            picked = self._output(output)
+        else:
+            picked = materialize(picked, "picked")
+            output = self.table.stage(process(picked))
         # the hashes of what was written down: had a row changed between the two reads, its present form is the one that was processed
         fresh = materialize(self.hashed(picked, content), "hashes")
-        count = fresh.count()
-        n = self.table.buckets_for(said, count, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        n = self.table.buckets_for(said, fresh.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         bucket = self.table.bucket(n).alias("_bucket")
         touched = {r[0] for r in fresh.select(bucket).distinct().collect()} if said.get("buckets") == n else None  # at most n
         state = self.table.read_buckets(said, touched)
-        fresh = fresh.select(*self.keys, "content_hash", bucket)
+        following = fresh.select(*self.keys, "content_hash").repartition(n, *self.keys)
         if state is not None:
-            fresh = fresh.unionByName(state.select(*self.keys, "content_hash", bucket).join(fresh.select(*self.keys), self.keys, "left_anti"))
-        parts, schema = self.table.stage_buckets(fresh.repartitionById(n, F.col("_bucket")))
+            # a key has one row on either side
+            both = fresh.select(*self.keys, "content_hash", F.lit(1).alias("_age")).unionByName(state.select(*self.keys, "content_hash", F.lit(0).alias("_age")))
+            following = both.repartition(n, *self.keys).groupBy(*self.keys).agg(F.max_by("content_hash", "_age").alias("content_hash"))
+        parts, schema = self.table.stage_buckets(following.withColumn("_bucket", self.table.bucket(n)))
         self.table.publish(self.table.merged(said, n, touched, parts, schema, outputs=[*said.get("outputs", []), output]), number)
-        return self.spark.read.parquet(f"{self.table.root}/{output}")
+        return self._output(output)
+
+    def _output(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.table.root}/{version}")
 
     def outputs(self) -> list[DataFrame]:
         """What each committed run put out, in order."""
-        return [self.spark.read.parquet(f"{self.table.root}/{v}") for v in self.table.content().get("outputs", [])]
+        return [self._output(v) for v in self.table.content().get("outputs", [])]
 
 
 def _nodes(low: str, high: str, levels: int, pair: bool) -> F.Column:

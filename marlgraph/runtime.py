@@ -195,7 +195,8 @@ class BucketedTable(VersionedTable):
         self.keys, self.rows = list(keys), rows or self.ROWS
 
     def bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
+        """The bucket of a row: the partition into which `repartition(buckets, *keys)` puts it."""
+        return F.pmod(F.hash(*self.keys), F.lit(buckets))
 
     def buckets_for(self, content: dict, more: int, least: int = 1) -> int:
         """Buckets of the next commit, which adds at most `more` rows."""
