@@ -1,8 +1,9 @@
 """Vertices, edges and pointer paths as append-only logs, and the views over them.
 
 Logs: vertices (tenant_id, node_id, properties, op, seq), edges (tenant_id, src, dst, properties, op, seq), pointer paths
-(tenant_id, node_id, path, sap_key, seq). op is PUT or DELETE (null: PUT); the highest seq of a key decides, of equal ones a DELETE and then the
-greatest properties. Properties are replaced as a whole. Null ids are left out; null tenants are `default`; empty logs give empty views.
+(tenant_id, node_id, path, sap_key, seq). op is PUT or DELETE (null: PUT); the highest seq of a key decides, of equal ones a DELETE and then a fixed
+order of properties. A log may also have `source` and `written`: seq then is an order within a source only, and of the sources' last writes the one written last decides. It may have
+`puts`, the number of puts that a compacted row stands for. Properties are replaced as a whole. Null ids are left out; null tenants are `default`; empty logs give empty views.
 
 Adjacency is kept as rows; lists are only built for output, in segments of bounded length. A tombstone removes an edge from both ends.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlgraph.functions.canonical import canonical_op, canonical_tenant
 from marlgraph.operators.heavy_keys import SEGMENT, segmented
@@ -20,25 +22,50 @@ SUPER_READ, SUPER_FOLD = 500_000, 1_000_000
 SEPARATOR = "\x1f"
 
 
-def _latest(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+VERTEX, EDGE, PATH = ["tenant_id", "node_id"], ["tenant_id", "src", "dst"], ["tenant_id", "path", "node_id"]
+#: Values of each log.
+VALUES = {"vertices": (VERTEX, ["properties"]), "edges": (EDGE, ["properties"]), "paths": (PATH, ["sap_key"])}
+
+
+def _last(log: DataFrame, keys: list[str], values: list[str], carried: list[str] = ()) -> DataFrame:
+    """(keys, last): the last write of each key, as (removed, values, seq, carried)."""
     rows = log.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys if k != "tenant_id"))).withColumn("tenant_id", canonical_tenant("tenant_id"))
-    removed = canonical_op("op") == "DELETE" if "op" in log.columns else F.lit(False)
-    order = F.struct(F.col("seq"), removed.alias("removed"), *[F.to_json(F.struct(v)).alias(f"t_{v}") for v in values])
-    rows = rows.groupBy(*keys).agg(F.max_by(F.struct(removed.alias("removed"), *values, "seq"), order).alias("last"))
+    removed = (canonical_op("op") == "DELETE" if "op" in log.columns else F.lit(False)).alias("removed")
+    tie = F.xxhash64(*[F.array_sort(F.map_entries(v)) if isinstance(log.schema[v].dataType, T.MapType) else F.col(v) for v in values])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(removed, *values, "seq", *carried), F.struct("seq", removed, tie)).alias("last"), F.sum(_puts(log)).alias("puts"))
+
+
+def _puts(log: DataFrame) -> Column:
+    one = F.when(canonical_op("op") == "PUT", 1).otherwise(0) if "op" in log.columns else F.lit(1)
+    return (F.coalesce("puts", one) if "puts" in log.columns else one).cast("long")
+
+
+def _latest(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    if "source" in log.columns:
+        by_source = _last(log, [*keys, "source"], values, ["written"])
+        rows = by_source.groupBy(*keys).agg(F.max_by("last", F.struct("last.written", "last.seq")).alias("last"))
+    else:
+        rows = _last(log, keys, values)
     return rows.where("NOT last.removed").select(*keys, *[f"last.{v}" for v in values], "last.seq")
 
 
+def compacted(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The log with one row for each key and source, its last write. Tombstones stay, since an older put may still arrive, and `puts` counts the puts that a row stands for."""
+    rows = _last(log, [*keys, "source"], values, ["written"])
+    return rows.select(*keys, *[f"last.{v}" for v in values], F.when(F.col("last.removed"), "DELETE").otherwise("PUT").alias("op"), "last.seq", "source", "last.written", "puts")
+
+
 def latest_vertices(log: DataFrame) -> DataFrame:
-    return _latest(log, ["tenant_id", "node_id"], ["properties"])
+    return _latest(log, *VALUES["vertices"])
 
 
 def latest_edges(log: DataFrame) -> DataFrame:
     """One row per (tenant_id, src, dst) that exists."""
-    return _latest(log, ["tenant_id", "src", "dst"], ["properties"])
+    return _latest(log, *VALUES["edges"])
 
 
 def latest_pointer_paths(log: DataFrame) -> DataFrame:
-    return _latest(log, ["tenant_id", "path", "node_id"], ["sap_key"])
+    return _latest(log, *VALUES["paths"])
 
 
 def scan_vertices(vertices: DataFrame, tenant_id: str) -> DataFrame:
@@ -77,10 +104,12 @@ def neighbours(edges: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return neighbour_lists(both_ends(edges), ["tenant_id", "node_id"], segment)
 
 
-def degrees(edge_puts: DataFrame) -> DataFrame:
-    """(tenant_id, node_id, degree, out_degree, in_degree) counting every put at each end, repeats included."""
-    count = lambda d: F.count(F.when(F.col("dir") == d, 1))
-    return both_ends(edge_puts).groupBy("tenant_id", "node_id").agg(F.count("*").alias("degree"), count(0).alias("out_degree"), count(1).alias("in_degree"))
+def degrees(edge_log: DataFrame) -> DataFrame:
+    """(tenant_id, node_id, degree, out_degree, in_degree) counting every put at each end, repeats included; compacted rows count for the puts they stand for, tombstones for none."""
+    rows = edge_log.where("src IS NOT NULL AND dst IS NOT NULL").select(canonical_tenant("tenant_id").alias("tenant_id"), "src", "dst", _puts(edge_log).alias("n")).where("n > 0")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.col("n").alias("out"), F.lit(0).cast("long").alias("in")), F.struct(F.col("dst").alias("node_id"), F.lit(0).cast("long").alias("out"), F.col("n").alias("in"))))
+    rows = rows.select("tenant_id", ends.alias("e")).groupBy("tenant_id", "e.node_id")
+    return rows.agg(F.sum(F.col("e.out") + F.col("e.in")).alias("degree"), F.sum("e.out").alias("out_degree"), F.sum("e.in").alias("in_degree"))
 
 
 def super_nodes(degree: DataFrame, threshold: int = SUPER_READ) -> DataFrame:

@@ -45,13 +45,43 @@ class EdgeMapping:
     target_column: str
     properties: tuple[str, ...] = ()
     join_table: str | None = None
+    #: Labels of source and target; where they aren't given, `Catalog.ends` tells them by the columns' names.
+    ends: tuple[str, str] | None = None
+
+
+#: Labels that ids have room for.
+LABELS = 64
 
 
 @dataclass
 class Catalog:
+    """Mappings by label. In the graph a vertex's id is key * width + code: the code is the label's place among the declared ones, so that keys of two tables never meet.
+
+    The last code stands for ends of edges whose label can't be told. A catalog of one label needs no codes, its width is 1.
+    """
+
     nodes: dict[str, NodeMapping] = field(default_factory=dict)
     edges: dict[str, EdgeMapping] = field(default_factory=dict)
 
+    def codes(self) -> dict[str, int]:
+        return {label: i for i, label in enumerate(self.nodes)}
+
+    def width(self) -> int:
+        return LABELS if len(self.nodes) > 1 else 1
+
+    def ends_of(self, edge: EdgeMapping) -> tuple[str | None, str | None]:
+        """Labels of an edge's source and target: the only node with that id column, else the only one whose id column has that name after its prefix; None where that tells none."""
+        if edge.ends:
+            return edge.ends
+
+        def label(column: str) -> str | None:
+            same = [n.label for n in self.nodes.values() if n.id_column == column]
+            bare = [n.label for n in self.nodes.values() if n.id_column.partition("_")[2] == column.partition("_")[2] != ""]
+            found = same or bare
+            return found[0] if len(found) == 1 else None
+
+        return label(edge.source_column), label(edge.target_column)
+
     def add(self, mapping: NodeMapping | EdgeMapping) -> None:
         for name in (mapping.table, *mapping.properties, *([mapping.join_table] if mapping.join_table else []), *((mapping.id_column,) if isinstance(mapping, NodeMapping) else (mapping.source_column, mapping.target_column))):
             check_identifier(name)
@@ -103,6 +133,21 @@ def parse_catalog(text: str, relaxed: bool = False) -> Catalog:
     return catalog
 
 
-def load_catalog(path: str, relaxed: bool = False) -> Catalog:
-    with open(path, encoding="utf-8") as f:
-        return parse_catalog(f.read(), relaxed)
+def load_catalog(spark: SparkSession, path: str, relaxed: bool = False) -> Catalog:
+    """Reads declarations from a file of any file system that the session knows."""
+    text = spark.read.text(path, wholetext=True).first()
+    return parse_catalog(text[0] if text else "", relaxed)
+
+
+def save_catalog(spark: SparkSession, catalog: Catalog, path: str) -> None:
+    """Writes the declarations to one file, replacing it as a whole."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = place.suffix(".writing")
+    out = fs.create(fresh, True)
+    out.write(bytearray(catalog.text() + "\n", "utf-8"))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(fresh, place):
+        raise OSError(f"cannot write {path}")

@@ -9,18 +9,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlgraph.functions.canonical import canonical_tenant
 from marlgraph.operators import profile, retrieve, store, traverse
 from marlgraph.operators.retrieve import Policy, Principal
 from marlgraph.plans import executor, pattern, planner
-from marlgraph.plans.catalog import Catalog
-from marlgraph.runtime import materialize
+from marlgraph.plans.catalog import LABELS, Catalog
+from marlgraph.runtime import BucketedTable, VersionedTable, materialize
 from marlgraph.sources.events import graph_writes
 
 LOG = logging.getLogger("marlgraph.audit")
 MAX_ID = (1 << 63) - 1
 VERTEX_LOG = "tenant_id string, node_id long, properties map<string,string>, op string, seq long"
 EDGE_LOG = "tenant_id string, src long, dst long, properties map<string,string>, op string, seq long"
-PATH_LOG = "tenant_id string, node_id long, path array<string>, sap_key string, seq long"
+PATH_LOG = "tenant_id string, node_id long, path array<string>, sap_key string, op string, seq long"
+#: Every log also says where a write comes from, when it was written (nanoseconds) and, once compacted, for how many puts a row stands.
+LOGS = {name: f"{schema}, source string, written long, puts long" for name, schema in {"vertices": VERTEX_LOG, "edges": EDGE_LOG, "paths": PATH_LOG}.items()}
+#: Sources of writes that don't come from a table's events: single ones, whose sequence is the clock, and frames with a sequence of their own.
+MANUAL, FRAME = "", "*"
 
 
 class NotFound(LookupError):
@@ -30,7 +35,8 @@ class NotFound(LookupError):
 class GraphSession:
     """root: folder of the logs. Rows are appended; views take the latest of each key, so writers never wait for each other.
 
-    Single writes are small files; `ingest` and `put_*_frame` write in bulk, and `compact` rewrites a log as its latest state.
+    Single writes are small files; `ingest` and `put_*_frame` write in bulk, and `compact` folds a log's files into buckets without changing any answer.
+    Sequences of different sources aren't compared: of each source its last write counts, and of these the one written last.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: Catalog | None = None, tables: Callable[[str], DataFrame] | None = None, tenant_id: str = "default", principal: Principal | None = None, allowed_labels: frozenset[str] = frozenset(), policy: Policy | None = None, unique_ids: frozenset[str] = frozenset(), embeddings: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None):
@@ -55,14 +61,34 @@ class GraphSession:
 
     # --- logs -------------------------------------------------------------------------------------------------------------------------
 
-    def _log(self, name: str, schema: str) -> DataFrame:
+    def _table(self, name: str) -> BucketedTable:
+        keys, _ = store.VALUES[name]
+        return BucketedTable(self.spark, f"{self.root}/compacted-{name}", [*keys, "source"])
+
+    def _files(self, name: str, folded: list[str]) -> list[str]:
+        """Names of the log's files that aren't folded."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        exists = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if exists else self.spark.createDataFrame([], schema)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(set(n for n in names if n.endswith(".parquet") and n[0] not in "._") - set(folded))
+
+    def _appended(self, name: str, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(LOGS[name]).parquet(*[f"{self.root}/{name}/{f}" for f in files]) if files else self.spark.createDataFrame([], LOGS[name])
+
+    def _log(self, name: str) -> DataFrame:
+        """The compacted buckets and the files appended since."""
+        table = self._table(name)
+        said = table.content()
+        rows = self._appended(name, self._files(name, said.get("folded", [])))
+        base = table.read_buckets(said)
+        return rows if base is None else rows.unionByName(base.drop("_bucket"))
 
     def _append(self, name: str, rows: DataFrame) -> None:
         self.policy.check_write(self.principal)
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+        given = {f.name: f.dataType for f in rows.schema.fields}
+        known = {"source": F.lit(MANUAL), "written": F.lit(time.time_ns()), "op": F.lit("PUT")}
+        columns = [(F.col(c) if c in given else known.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in (f.split(" ", 1) for f in LOGS[name].split(", "))]
+        rows.select(columns).write.mode("append").parquet(f"{self.root}/{name}")
 
     def _one(self, name: str, schema: str, row: tuple) -> None:
         self._append(name, self.spark.createDataFrame([row], schema))
@@ -75,15 +101,15 @@ class GraphSession:
 
     @property
     def vertices(self) -> DataFrame:
-        return store.latest_vertices(self._log("vertices", VERTEX_LOG))
+        return store.latest_vertices(self._log("vertices"))
 
     @property
     def edges(self) -> DataFrame:
-        return store.latest_edges(self._log("edges", EDGE_LOG))
+        return store.latest_edges(self._log("edges"))
 
     @property
     def paths(self) -> DataFrame:
-        return store.latest_pointer_paths(self._log("paths", PATH_LOG))
+        return store.latest_pointer_paths(self._log("paths"))
 
     # --- writes -----------------------------------------------------------------------------------------------------------------------
 
@@ -100,7 +126,7 @@ class GraphSession:
         self._one("edges", EDGE_LOG, (self.tenant_id, self._id(src), self._id(dst), None, "DELETE", time.time_ns()))
 
     def put_pointer_path(self, node_id: int, path: list[str], sap_key: str) -> None:
-        self._one("paths", PATH_LOG, (self.tenant_id, self._id(node_id), path, sap_key, time.time_ns()))
+        self._one("paths", PATH_LOG, (self.tenant_id, self._id(node_id), path, sap_key, "PUT", time.time_ns()))
 
     def put_vertices_frame(self, rows: DataFrame) -> None:
         """Columns node_id, properties and optionally seq."""
@@ -110,33 +136,68 @@ class GraphSession:
         """Columns src, dst, properties and optionally seq."""
         self._append("edges", self._bulk(rows, ["src", "dst", "properties"]))
 
+    def put_log(self, name: str, rows: DataFrame) -> None:
+        """Appends rows of a log as they are, for instance of a restored one, whatever their tenants."""
+        self._append(name, rows if "source" in rows.columns else rows.withColumn("source", F.lit(FRAME)))
+
     def _bulk(self, rows: DataFrame, columns: list[str]) -> DataFrame:
-        seq = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(time.time_ns())
-        return rows.select(F.lit(self.tenant_id).alias("tenant_id"), *columns, F.lit("PUT").alias("op"), seq.alias("seq"))
+        own = "seq" in rows.columns
+        seq = F.col("seq").cast("long") if own else F.lit(time.time_ns())
+        return rows.select(F.lit(self.tenant_id).alias("tenant_id"), *columns, F.lit("PUT").alias("op"), seq.alias("seq"), F.lit(FRAME if own else MANUAL).alias("source"))
+
+    def label_codes(self) -> dict[str, int]:
+        """Codes of the catalog's labels in this graph's ids. A label keeps its code for good; new ones get the next."""
+        table = VersionedTable(self.spark, f"{self.root}/labels")
+        number = table.head()
+        said = table.content(number)
+        codes = said.get("codes", {})
+        fresh = [label for label in self.catalog.nodes if label not in codes]
+        if fresh:
+            codes = codes | {label: len(codes) + i for i, label in enumerate(fresh)}
+            if len(codes) >= LABELS:
+                raise ValueError(f"a graph has room for {LABELS - 1} labels")
+            table.publish({"codes": codes}, number)
+        return codes
+
+    def vertex_id(self, label: str, key: int) -> int:
+        """The id of the vertex that events of the label's table write for a key."""
+        return self._id(key) * LABELS + self.label_codes()[label]
 
     def ingest(self, events: DataFrame) -> None:
-        """Events, batch or a micro-batch, become vertices and edges by the catalog. Repeats change nothing: the latest lsn of a key decides."""
-        vertices, edges = graph_writes(events, self.catalog, self.tenant_id)
+        """Events, batch or a micro-batch, become vertices and edges by the catalog, under the ids of `vertex_id`. Repeats change nothing: the latest lsn of a key in its table decides."""
+        vertices, edges = graph_writes(events, self.catalog, self.tenant_id, self.label_codes(), LABELS)
         if vertices is not None:
             self._append("vertices", vertices)
         if edges is not None:
             self._append("edges", edges)
 
     def compact(self, name: str) -> None:
-        """Rewrites vertices, edges or paths as their latest state, sorted for scans, and swaps the folder."""
-        view = {"vertices": self.vertices, "edges": self.edges, "paths": self.paths}[name]
-        if name != "paths":
-            view = view.withColumn("op", F.lit("PUT"))
-        keys = {"vertices": ["tenant_id", "node_id"], "edges": ["tenant_id", "src", "dst"], "paths": ["tenant_id", "node_id"]}[name]
-        fresh = f"{self.root}/.{name}-{time.time_ns()}"
-        view.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(fresh)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
+        """Folds the files of vertices, edges or paths that are there when it begins into buckets by key; only buckets that they touch are rewritten.
+
+        Nothing changes for readers: one commit names the new buckets and the folded files together, files appended meanwhile stay, and tombstones and
+        numbers of puts are kept. Files folded by the compaction before are deleted now, when no reader of that time is left.
+        """
+        self.policy.check_write(self.principal)
+        table, (keys, values) = self._table(name), store.VALUES[name]
+        number = table.head()
+        said = table.content(number)
+        files = self._files(name, said.get("folded", []))
+        if not files:
+            return
+        rows = materialize(store.compacted(self._appended(name, files), keys, values), "compacting")
+        n = table.buckets_for(said, rows.count())
+        bucket = table.bucket(n)
+        touched = {r[0] for r in rows.select(bucket.alias("b")).distinct().collect()} if said.get("buckets") == n else None  # at most n
+        base = table.read_buckets(said, touched)
+        if base is not None:
+            rows = store.compacted(rows.unionByName(base.drop("_bucket")), keys, values)
+        rows = rows.withColumn("_bucket", bucket).repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", *keys)
+        parts, schema = table.stage_buckets(rows)
+        table.publish(table.merged(said, n, touched, parts, schema, folded=files), number)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        old = path(f"{self.root}/.{name}-old-{time.time_ns()}")
-        fs.rename(path(f"{self.root}/{name}"), old)
-        fs.rename(path(fresh), path(f"{self.root}/{name}"))
-        fs.delete(old, True)
+        for f in said.get("folded", []):
+            fs.delete(path(f"{self.root}/{name}/{f}"), False)
 
     # --- reads ------------------------------------------------------------------------------------------------------------------------
 
@@ -159,8 +220,7 @@ class GraphSession:
         return traverse.with_lists(asked, store.neighbour_lists(found, ["node_id"]))
 
     def degree(self, ids: DataFrame) -> DataFrame:
-        puts = self._log("edges", EDGE_LOG).where((F.col("tenant_id") == self.tenant_id) & (F.col("op") == "PUT"))
-        return store.degrees(puts).join(ids.select("node_id").distinct(), "node_id", "right").select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "out_degree", "in_degree")])
+        return store.degrees(self._log("edges").where(canonical_tenant("tenant_id") == self.tenant_id)).join(ids.select("node_id").distinct(), "node_id", "right").select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "out_degree", "in_degree")])
 
     def expand_neighborhood(self, anchor: int, max_depth: int, max_nodes_visited: int | None = None, direction: str = "Outbound") -> DataFrame:
         edges = materialize(self.edges.where(F.col("tenant_id") == self.tenant_id), "edges")

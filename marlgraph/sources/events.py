@@ -54,6 +54,35 @@ def poll(log: DataFrame, after_lsn: int, limit: int = 1000) -> DataFrame:
     return rest.join(F.broadcast(last), F.col("lsn") <= F.col("_last")).drop("_last").orderBy("lsn")
 
 
+class Poller:
+    """Polls a log from where it last got to. The place is kept as numbered commits below `root`, so that of two pollers at once one gets a Conflict and no change is handed out twice as done.
+
+    `take` hands out the next changes; `done` keeps that they are dealt with. Without `done` the next `take`, also that of another process, hands them out again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, limit: int = 1000):
+        from marlgraph.runtime import VersionedTable
+
+        self.place, self.limit = VersionedTable(spark, root), limit
+        self._number, self._last = 0, None
+
+    @property
+    def after(self) -> int:
+        """The last lsn that is dealt with; -1 before the first."""
+        return self.place.content().get("lsn", -1)
+
+    def take(self, log: DataFrame) -> DataFrame:
+        self._number = self.place.head()
+        batch = poll(log, self.place.content(self._number).get("lsn", -1), self.limit)
+        self._last = batch.agg(F.max("lsn")).first()[0]
+        return batch if self._last is None else batch.where(F.col("lsn") <= self._last)
+
+    def done(self) -> None:
+        if self._last is not None:
+            self.place.publish({"lsn": self._last}, self._number)
+            self._last = None
+
+
 def from_json_lines(raw: DataFrame, column: str = "value") -> DataFrame:
     """Events from JSON text; a text that is none is kept in `corrupt` with null fields, so that one bad message stops nothing."""
     shape = T.StructType([*EVENT.fields, T.StructField("corrupt", T.StringType())])
@@ -82,22 +111,37 @@ def edges_of_keys(events: DataFrame) -> DataFrame:
     return events.select(F.lit("default").alias("tenant_id"), pair.alias("e"), F.when(F.col("operation") == 3, "DELETE").otherwise("PUT").alias("op"), F.col("lsn").alias("seq")).select("tenant_id", "e.src", "e.dst", F.create_map().cast("map<string,string>").alias("properties"), "op", "seq")
 
 
-def graph_writes(events: DataFrame, catalog, tenant_id: str = "default") -> tuple[DataFrame, DataFrame]:
+def graph_writes(events: DataFrame, catalog, tenant_id: str = "default", codes: dict[str, int] | None = None, width: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(vertex log, edge log) from events by the catalog: a row of a node's table writes its vertex, one of an edge's table the edge between its columns.
 
-    Deletes become tombstones, from the before image where there is no after image. Ids are whole numbers; other values are left out.
+    Ids are key * width + code of the label (see Catalog; codes and width may be given), so vertices of different labels never meet. Deletes become tombstones, from the before image
+    where there is no after image. An update that moves an edge, or changes a vertex's key, leaves a tombstone at the old place. Keys are whole numbers; other
+    values are left out. All mappings are read off a row at once, so either log reads the events once, whatever the size of the catalog.
     """
-    row = F.coalesce("after_image", "before_image")
-    op = F.when(F.col("operation") == 3, "DELETE").otherwise("PUT")
+    codes, width = catalog.codes() if codes is None else codes, width or catalog.width()
     known = events.where(F.col("operation").isin(1, 2, 3))
-    text = lambda c: value_text(F.try_element_at(row, F.lit(c)))
-    vertices = edges = None
-    for m in catalog.nodes.values():
-        props = F.map_concat(F.create_map(F.lit("label"), F.lit(m.label)), F.map_filter(F.create_map(*[x for p in m.properties for x in (F.lit(p), text(p))]), lambda _, v: v.isNotNull())) if m.properties else F.create_map(F.lit("label"), F.lit(m.label))
-        one = known.where(F.upper("src_table") == m.table.upper()).select(F.lit(tenant_id).alias("tenant_id"), text(m.id_column).try_cast("long").alias("node_id"), props.alias("properties"), op.alias("op"), F.col("lsn").alias("seq")).where("node_id IS NOT NULL")
-        vertices = one if vertices is None else vertices.unionByName(one)
-    for m in catalog.edges.values():
-        props = F.map_concat(F.create_map(F.lit("label"), F.lit(m.label)), F.map_filter(F.create_map(*[x for p in m.properties for x in (F.lit(p), text(p))]), lambda _, v: v.isNotNull())) if m.properties else F.create_map(F.lit("label"), F.lit(m.label))
-        one = known.where(F.upper("src_table") == m.table.upper()).select(F.lit(tenant_id).alias("tenant_id"), text(m.source_column).try_cast("long").alias("src"), text(m.target_column).try_cast("long").alias("dst"), props.alias("properties"), op.alias("op"), F.col("lsn").alias("seq")).where("src IS NOT NULL AND dst IS NOT NULL")
-        edges = one if edges is None else edges.unionByName(one)
-    return vertices, edges
+    now, old = F.coalesce("after_image", "before_image"), F.col("before_image")
+    text = lambda image, c: value_text(F.try_element_at(image, F.lit(c)))
+    props = T.MapType(T.StringType(), T.StringType())
+
+    def writes(mapping, keys: dict[str, tuple[str, str | None]]) -> Column:
+        """What a row of the mapping's table writes: its place now, after a tombstone at the place that it left."""
+        at = lambda image: [(text(image, column).try_cast("long") * width + codes.get(label, width - 1)).alias(name) for name, (column, label) in keys.items()]
+        named = F.create_map(F.lit("label"), F.lit(mapping.label))
+        if mapping.properties:
+            named = F.map_concat(named, F.map_filter(F.create_map(*[x for p in mapping.properties for x in (F.lit(p), text(now, p))]), lambda _, v: v.isNotNull()))
+        put = F.struct(*at(now), named.alias("properties"), F.when(F.col("operation") == 3, "DELETE").otherwise("PUT").alias("op"))
+        left = F.struct(*at(old), F.lit(None).cast(props).alias("properties"), F.lit("DELETE").alias("op"))
+        moved = (F.col("operation") == 2) & old.isNotNull() & ~F.struct(*at(old)).eqNullSafe(F.struct(*at(now)))
+        return F.when(F.upper("src_table") == mapping.table.upper(), F.when(moved, F.array(left, put)).otherwise(F.array(put)))
+
+    def log(mappings: list[Column], keys: list[str]) -> DataFrame | None:
+        if not mappings:
+            return None
+        each = F.explode(F.flatten(F.filter(F.array(*mappings), lambda w: w.isNotNull()))).alias("w")
+        rows = known.select(F.upper("src_table").alias("source"), "lsn", each).where(" AND ".join(f"w.{k} IS NOT NULL" for k in keys))
+        return rows.select(F.lit(tenant_id).alias("tenant_id"), *[f"w.{k}" for k in keys], "w.properties", "w.op", F.col("lsn").alias("seq"), "source")
+
+    vertices = [writes(m, {"node_id": (m.id_column, m.label)}) for m in catalog.nodes.values()]
+    edges = [writes(m, {"src": (m.source_column, a), "dst": (m.target_column, b)}) for m in catalog.edges.values() for a, b in [catalog.ends_of(m)]]
+    return log(vertices, ["node_id"]), log(edges, ["src", "dst"])
