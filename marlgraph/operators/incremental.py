@@ -48,14 +48,17 @@ class IncrementalLoad:
         self.table = BucketedTable(spark, root or scratch_path(spark, "loaded"), self.keys)
 
     def hashed(self, rows: DataFrame, content: Sequence[str]) -> DataFrame:
-        """One row per key with the hash of its content. Equal rows count once; the hash of different rows doesn't depend on their order.
+        """One row per key with the hash of its content, written down. Equal rows count once; the hash of different rows doesn't depend on their order.
 
-        Keys whose rows are all equal, nearly all of them, take one exchange of one row per key and partition; only the others' rows are made distinct first.
+        The least and greatest hash of a key's rows are combined before the one exchange. Only where a key has both, and so different rows, are rows read again and made distinct.
         """
         rows = self._keyed(rows).select(*self.keys, content_hash(*content).alias("_h"))
-        ends = rows.groupBy(*self.keys).agg(F.min("_h").alias("_low"), F.max("_h").alias("_high"))
-        mixed = rows.join(ends.where("_low <> _high").select(*self.keys), self.keys, "left_semi").distinct()
-        return ends.where("_low = _high").select(*self.keys, F.col("_low").alias("content_hash")).unionByName(mixed.groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash")))
+        ends = materialize(rows.groupBy(*self.keys).agg(F.min("_h").alias("content_hash"), F.max("_h").alias("_high")), "hashes")
+        mixed = ends.where("content_hash <> _high").select(*self.keys)
+        if mixed.isEmpty():
+            return ends.drop("_high")
+        several = rows.join(mixed, self.keys, "left_semi").distinct().groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash"))
+        return ends.where("content_hash = _high").drop("_high").unionByName(several)
 
     def _keyed(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
@@ -86,7 +89,7 @@ class IncrementalLoad:
             picked = materialize(picked, "picked")
             output = self.table.stage(process(picked))
         # the hashes of what was written down: had a row changed between the two reads, its present form is the one that was processed
-        fresh = materialize(self.hashed(picked, content), "hashes")
+        fresh = self.hashed(picked, content)
         n = self.table.buckets_for(said, fresh.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         bucket = self.table.bucket(n).alias("_bucket")
         touched = {r[0] for r in fresh.select(bucket).distinct().collect()} if said.get("buckets") == n else None  # at most n

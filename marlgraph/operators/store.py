@@ -2,7 +2,7 @@
 
 Logs: vertices (tenant_id, node_id, properties, op, seq), edges (tenant_id, src, dst, properties, op, seq), pointer paths
 (tenant_id, node_id, path, sap_key, seq). op is PUT or DELETE (null: PUT); the highest seq of a key decides, of equal ones a DELETE and then a fixed
-order of properties. A log may also have `source` and `written`: seq then is an order within a source only, and of the sources' last writes the one written last decides. It may have
+order of properties. A log may also have `source` and, with it, `written`: seq then is an order within a source only, and of the sources' last writes the one written last decides. It may have
 `puts`, the number of puts that a compacted row stands for. Properties are replaced as a whole. Null ids are left out; null tenants are `default`; empty logs give empty views.
 
 Adjacency is kept as rows; lists are only built for output, in segments of bounded length. A tombstone removes an edge from both ends.
@@ -42,7 +42,7 @@ def _puts(log: DataFrame) -> Column:
 
 def _latest(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     if "source" in log.columns:
-        by_source = _last(log, [*keys, "source"], values, ["written"])
+        by_source = _last(log if "written" in log.columns else log.withColumn("written", F.lit(0)), [*keys, "source"], values, ["written"])
         rows = by_source.groupBy(*keys).agg(F.max_by("last", F.struct("last.written", "last.seq")).alias("last"))
     else:
         rows = _last(log, keys, values)

@@ -439,7 +439,7 @@ def cdc_graph_writes(spark, folder):
     made = ev.insert_events(table(spark, folder, "supplier"), "SUPPLIER", ["s_suppkey"])
     vertices, _ = ev.graph_writes(made, parse_catalog(MAPPING))
     p = lambda c: F.try_element_at("properties", F.lit(c))
-    return store.latest_vertices(vertices.drop("source")).select(p("label").alias("label"), _key("node_id").alias("node_id"), p("s_name").alias("name"))
+    return store.latest_vertices(vertices).select(p("label").alias("label"), _key("node_id").alias("node_id"), p("s_name").alias("name"))
 
 
 def _key(node_id: str) -> F.Column:
@@ -476,7 +476,7 @@ def cdc_graph_writes_all(spark, folder):
 def graph_two_labels(spark, folder):
     """Vertices of every label after ingestion of all tables; keys that several tables have are different vertices."""
     vertices, _ = ev.graph_writes(_all_inserts(spark, folder), parse_catalog(MAPPING))
-    rows = store.latest_vertices(vertices.withColumn("written", F.lit(0))).withColumn("key", _key("node_id"))
+    rows = store.latest_vertices(vertices).withColumn("key", _key("node_id"))
     return rows.groupBy(F.try_element_at("properties", F.lit("label")).alias("label")).agg(F.count("*").alias("vertices"), F.min("key").alias("lowest"), F.max("key").alias("highest"))
 
 
@@ -487,7 +487,7 @@ def graph_edge_moved(spark, folder):
     moved = F.transform_values("after_image", lambda k, v: F.when(k == "o_custkey", v.withField("int_value", v["int_value"] + 1)).otherwise(v))
     updates = made.where(F.try_element_at("after_image", F.lit("o_orderstatus"))["string_value"] == "F").withColumns({"operation": F.lit(2), "before_image": F.col("after_image"), "after_image": moved, "lsn": F.col("lsn") + (1 << 40)})
     _, edges = ev.graph_writes(made.unionByName(updates), parse_catalog(MAPPING))
-    return store.latest_edges(edges.withColumn("written", F.lit(0))).select(_key("src").alias("src"), _key("dst").alias("dst"))
+    return store.latest_edges(edges).select(_key("src").alias("src"), _key("dst").alias("dst"))
 
 
 @_query(f"""WITH {_LE}, p AS (SELECT {_TEN} tenant_id, source_id src, target_id dst FROM edge_writes WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND NOT {_DEL})

@@ -6,7 +6,8 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from marlgraph.operators import store
-from marlgraph.plans.catalog import parse_catalog
+from marlgraph.plans.catalog import EdgeMapping, load_catalog, parse_catalog, save_catalog
+from marlgraph.runtime import Conflict
 from marlgraph.sources import events
 from marlgraph.streaming import ingest
 
@@ -42,6 +43,69 @@ def test_graph_writes_by_the_catalog(spark):
     assert rows_of(store.latest_edges(edges).select("src", "dst", "properties")) == [(1, 9, {"label": "S", "menge": "5"})]
 
 
+VALUE_MAP = "map<string,struct<string_value string,int_value long,double_value double,bool_value boolean,bytes_value binary>>"
+CHANGE = f"src_table string, primary_key string, operation int, before_image {VALUE_MAP}, after_image {VALUE_MAP}, lsn long"
+
+
+def image(**k):
+    return {c: (None, v, None, None, None) for c, v in k.items()}
+
+
+def test_a_moved_edge_and_a_changed_key_leave_nothing_behind(spark):
+    catalog = parse_catalog("NODE M FROM mara WITH id = matnr NODE V FROM lfa1 WITH id = lifnr EDGE S FROM ekpo USING matnr -> lifnr")
+    rows = [("EKPO", "1", 1, None, image(matnr=7, lifnr=8), 1), ("EKPO", "1", 2, image(matnr=7, lifnr=8), image(matnr=7, lifnr=9), 2), ("MARA", "7", 1, None, image(matnr=7), 1), ("MARA", "7", 2, image(matnr=7), image(matnr=8), 2), ("LFA1", "7", 1, None, image(lifnr=7), 1), ("EKPO", "2", 2, None, image(matnr=1, lifnr=1), 3)]
+    vertices, edges = events.graph_writes(spark.createDataFrame(rows, CHANGE), catalog)
+    assert rows_of(store.latest_edges(edges).select("src", "dst")) == [(448, 577), (64, 65)]
+    assert rows_of(store.latest_vertices(vertices).select("node_id")) == [(449,), (512,)]
+
+
+def test_ends_of_edges():
+    c = parse_catalog("NODE C FROM customer WITH id = c_custkey NODE O FROM orders WITH id = o_orderkey NODE X FROM x WITH id = id NODE Y FROM y WITH id = id EDGE P FROM orders USING o_custkey -> o_orderkey EDGE Z FROM z USING id -> other")
+    assert c.ends_of(c.edges["P"]) == ("C", "O") and c.ends_of(c.edges["Z"]) == (None, None) and c.codes()["X"] == 2 and c.width() == 64
+    c.add(EdgeMapping("Q", "z", "id", "other", ends=("X", "Y")))
+    assert c.ends_of(c.edges["Q"]) == ("X", "Y")
+
+
+def test_a_poller_keeps_its_place(spark, tmp_path):
+    log = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "lsn long, primary_key string")
+    make = lambda: events.Poller(spark, f"file://{tmp_path}/place", 1)
+    keys = lambda df: [r[0] for r in rows_of(df.select("primary_key"))]
+    p = make()
+    assert keys(p.take(log)) == ["a"] and keys(make().take(log)) == ["a"]  # not done, so handed out again
+    p.done()
+    q = make()
+    assert q.after == 1 and keys(q.take(log)) == ["b", "c"]
+    other = make()
+    other.take(log), other.done()
+    with pytest.raises(Conflict):
+        q.done()
+    last = make()
+    assert keys(last.take(log)) == ["d"]
+    last.done(), last.done()
+    assert keys(make().take(log)) == [] and make().after == 3
+
+
+def test_sample_events_and_the_kafka_reader(spark, tmp_path):
+    stream = events.sample_events(spark, 50)
+    assert stream.isStreaming and {"src_table", "primary_key", "operation", "after_image", "txid", "lsn"} <= set(stream.columns)
+    query = stream.select("primary_key", "txid", "lsn").writeStream.format("memory").queryName("made").start()
+    while not query.lastProgress or not spark.table("made").count():
+        query.processAllAvailable()
+    query.stop()
+    rows = spark.table("made").orderBy("lsn").collect()
+    assert [r.lsn for r in rows] == list(range(1, len(rows) + 1)) and rows[0].txid == "TX00000001"
+    with pytest.raises(Exception, match="(?i)kafka"):  # without the connector the reader says what is missing
+        events.kafka_events(spark, "localhost:1", "t")
+
+
+def test_mapping_files(spark, tmp_path):
+    c = parse_catalog("NODE A FROM a WITH id = k PROPERTIES (v) EDGE E FROM a USING k -> v")
+    path = f"file://{tmp_path}/maps/one.dsl"
+    for _ in range(2):
+        save_catalog(spark, c, path)
+    assert load_catalog(spark, path) == c and (tmp_path / "maps/one.dsl").read_text() == c.text() + "\n"
+
+
 def test_replay_has_one_effect_each(spark, tmp_path):
     """A thousand events, half of them again after a restart."""
     root = f"file://{tmp_path}"
