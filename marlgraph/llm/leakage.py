@@ -3,10 +3,10 @@
 Texts are brought to words (compatibility form, case folded, without format characters). A passage is a run of `words` consecutive words of an item; a document region
 within `errors` edits of a passage of length L shares at least L - q + 1 - q * errors of its q-grams with it (q-gram lemma), all of them
 on `2 * errors + 1` neighbouring diagonals. So shared q-grams are counted in bands of diagonals, each overlapping the next; bands that
-reach the bound are kept as regions, and these are verified: without errors by comparing along the diagonal, with errors by an
-alignment inside the band. q is chosen so that the bound is at least 1 for every passage, which makes the filter lossless.
+reach the bound are kept as regions, and these are verified by an alignment inside the band, for all passages of all regions at once; without errors the band is one diagonal wide.
+q is chosen so that the bound is at least 1 for every passage, which makes the filter lossless.
 
-Items are read in blocks of at most BLOCK characters, each sent to all executors; a bigger item table takes more passes, not more memory.
+Items are read in blocks of at most BLOCK characters, each sent to all executors, where a worker builds its index once; a bigger item table takes more passes, not more memory.
 
 Cases: null, empty and short texts share nothing; repeated documents are each reported; items with equal texts are each reported; rows with a null
 id are reported under null; texts of any length are read whole; empty tables give no rows.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,8 +31,8 @@ from marlgraph.runtime import ship
 
 #: Characters of item texts per pass.
 BLOCK = 8_000_000
-#: Characters of documents that are looked at together.
-CHUNK = 2_000_000
+#: Characters of documents that are looked at together, and pairs of region and passage that are aligned together.
+CHUNK, PAIRS = 2_000_000, 200_000
 Q = 32
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,72 +118,110 @@ class Passages:
         self.grams = grams[order]
         self.at = (np.concatenate(at) if at else np.empty(0, int))[order]
         self.of = (np.concatenate(of) if of else np.empty(0, int))[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.grams >> np.uint64(42)] = True
-
-    def regions(self, codes: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, item, diagonal of the band's middle) of bands that reach the bound; codes: concatenated documents, document: index of each code's."""
+        # places for four times the grams, so that three of four foreign grams are told apart without a search
+        self.shift = np.uint64(64 - min(30, max(10, int(4 * len(self.grams)).bit_length())))
+        self.seen = np.zeros(1 << int(64 - self.shift), bool)
+        self.seen[self.grams >> self.shift] = True
+        # the passages of all items one after another
+        self.begins = np.cumsum([0, *(len(c) for c in self.codes)])
+        self.all = np.concatenate([*self.codes, np.empty(0, np.uint32)])
+        firsts = [np.flatnonzero(c == 0x20) for c in self.codes]
+        self.first = [f[: -self.words] if len(f) > self.words else np.empty(0, int) for f in firsts]
+        self.length = [f[self.words :] - f[: -self.words] + 1 if len(f) > self.words else np.empty(0, int) for f in firsts]
+
+    def regions(self, codes: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items and lowest diagonals of bands that reach the bound, and the places in the items of the grams that they share, see `passages`.
+
+        codes: concatenated documents, document: index of each code's.
+        """
+        none = (np.empty(0, np.int64),) * 4
         h = q_hashes(codes, self.q)
-        at = np.flatnonzero(self.seen[h >> np.uint64(42)])
+        at = np.flatnonzero(self.seen[h >> self.shift])
         low, high = np.searchsorted(self.grams, h[at], "left"), np.searchsorted(self.grams, h[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         if not len(at):
-            return
+            return none
         at = np.repeat(at, n)
         entry = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
         item, diagonal = self.of[entry], at - self.at[entry]
         keep = document[at] == document[np.minimum(at + self.q - 1, len(document) - 1)]
-        doc, item, diagonal = document[at[keep]], item[keep], diagonal[keep]
+        doc, item, diagonal, place = document[at[keep]], item[keep], diagonal[keep], at[keep] - diagonal[keep]
         order = np.lexsort((diagonal, item, doc))
-        doc, item, diagonal = doc[order], item[order], diagonal[order]
+        doc, item, diagonal, place = doc[order], item[order], diagonal[order], place[order]
         if not len(doc):
-            return
+            return none
         width = 2 * self.errors
         group = np.r_[0, np.cumsum((np.diff(doc) != 0) | (np.diff(item) != 0))]
         key = group.astype(np.int64) * (1 << 40) + (diagonal - diagonal.min())
         counts = np.searchsorted(key, key + width, "right") - np.arange(len(key))  # the band that begins at each hit
         new = np.r_[True, np.diff(key) != 0]
-        for i in np.flatnonzero(new & (counts >= self.bounds[item])):
-            yield int(doc[i]), int(item[i]), int(diagonal[i]) + self.errors
-
-    def shared_run(self, codes: np.ndarray, item: int, diagonal: int) -> bool:
-        """Whether `words` whole consecutive words agree along a diagonal."""
-        own = self.codes[item]
-        begin, end = max(0, -diagonal), min(len(own), len(codes) - diagonal)
-        if end <= begin:
-            return False
-        a, b = own[begin:end], codes[begin + diagonal : end + diagonal]
-        same = a == b
-        breaks = np.flatnonzero(~same)
-        edges = np.r_[-1, breaks, len(same)]
-        blanks = np.r_[0, np.cumsum(same & (a == 0x20))]
-        per_run = blanks[edges[1:]] - blanks[edges[:-1] + 1]
-        return bool((per_run > self.words).any())  # w words have w + 1 blanks around them
-
-    def aligned(self, codes: np.ndarray, item: int, diagonal: int) -> bool:
-        """Whether some passage lies within `errors` edits of a region of the document inside the band."""
-        if not self.errors:
-            return self.shared_run(codes, item, diagonal)
-        own, e = self.codes[item], self.errors
-        blanks = np.flatnonzero(own == 0x20)
-        for first, last in zip(blanks, blanks[self.words :]):
-            passage, begin = own[first : last + 1], first + diagonal - e
-            # cost[d]: least edits of the passage so far ending on the band's diagonal d; a region may begin on any
-            cost = np.zeros(2 * e + 1, np.int32)
-            for i, c in enumerate(passage):
-                at = begin + i + np.arange(2 * e + 1)
-                inside = (at >= 0) & (at < len(codes))
-                equal = inside & (codes[np.clip(at, 0, len(codes) - 1)] == c)
-                step = np.minimum(cost + np.where(equal, 0, np.where(inside, 1, e + 1)), np.r_[cost[1:] + 1, e + 1])
-                for d in range(1, 2 * e + 1):
-                    step[d] = min(step[d], step[d - 1] + 1)
-                cost = step
-                if cost.min() > e:
-                    break
-            if cost.min() <= e:
-                return True
-        return False
+        i = np.flatnonzero(new & (counts >= self.bounds[item]))
+        # an alignment's diagonals differ by at most `errors`, so those of one with a gram on this diagonal are no farther from it
+        n = counts[i]
+        shared = np.repeat(i - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(i) else np.empty(0, np.int64)
+        places = np.sort((np.repeat(np.arange(len(i)), n) << 32) + place[shared])
+        return doc[i], item[i], diagonal[i], places
+
+    def aligned(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, diagonal: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """For each region whether some passage of its item lies within `errors` edits of a piece of codes[low:high] inside the band around the diagonal.
+
+        Only passages that share as many grams with the band as their own length asks are aligned. places: of the shared grams, with the region's number in the upper half.
+        """
+        hit = np.zeros(len(item), bool)
+        n = np.array([len(self.first[i]) for i in item], np.int64)
+        at = 0
+        while at < len(item):
+            till = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), PAIRS, "right")) + at)
+            region = np.repeat(np.arange(at, till), n[at:till])
+            first = np.concatenate([self.first[i] for i in item[at:till]])
+            length = np.concatenate([self.length[i] for i in item[at:till]])
+            base = (region << 32) + first
+            shared = np.searchsorted(places, base + length - self.q, "right") - np.searchsorted(places, base, "left")
+            enough = shared >= length - self.q + 1 - self.q * self.errors
+            region, first, length = region[enough], first[enough], length[enough]
+            found = self._within(codes, low[region], high[region], self.begins[item[region]] + first, first + diagonal[region] - self.errors, length)
+            hit[region[found]] = True
+            at = till
+        return hit
+
+    def _within(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Indexes of the passages, of `length` codes from `own` on, that lie within `errors` edits of a piece of the text on the diagonals from `begin` on."""
+        e, alive, done = self.errors, np.arange(len(own)), []
+        band = np.arange(2 * e + 1)
+        # cost[d]: least edits of the passage so far ending on the band's diagonal d; a piece may begin on any
+        cost, far = np.zeros((len(own), 2 * e + 1), np.int16), np.int16(e + 1)
+        for i in range(int(length.max(initial=0))):
+            at = (begin[alive] + i)[:, None] + band
+            inside = (at >= low[alive, None]) & (at < high[alive, None])
+            equal = inside & (codes[np.clip(at, 0, len(codes) - 1)] == self.all[own[alive] + i][:, None])
+            step = cost + np.where(equal, 0, np.where(inside, 1, far)).astype(np.int16)
+            for d in range(2 * e, 0, -1):
+                np.minimum(step[:, d - 1], cost[:, d] + 1, out=step[:, d - 1])
+            for d in range(1, 2 * e + 1):
+                np.minimum(step[:, d], step[:, d - 1] + 1, out=step[:, d])
+            within = step.min(1) <= e
+            ended = length[alive] == i + 1
+            done.append(alive[within & ended])
+            going = within & ~ended
+            alive, cost = alive[going], step[going]
+            if not len(alive):
+                break
+        return np.concatenate([*done, np.empty(0, np.int64)])
+
+
+#: Indexes that this worker has built, by broadcast; the last few are kept.
+_BUILT: dict[tuple, Passages] = {}
+
+
+def built(name: int, value, words: int, errors: int) -> Passages:
+    """The index of a broadcast block of items, built once per worker process."""
+    key = (name, words, errors)
+    if key not in _BUILT:
+        while len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = Passages(*value, words, errors)
+    return _BUILT[key]
 
 
 def leaks(documents: DataFrame, items: DataFrame, document_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = 12, errors: int = 0) -> DataFrame:
@@ -204,19 +243,18 @@ def leaks(documents: DataFrame, items: DataFrame, document_id: str = "doc_id", i
 def _search(documents: DataFrame, ids: list, texts: list[str], document_id: str, text: str, words: int, errors: int, schema: T.StructType) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast((ids, texts))
 
+    name = uuid.uuid4().int
+
     def look(passages: Passages, keys: list, texts: list[str]) -> list[tuple[int, int]]:
         lengths = [len(t) for t in texts]
         codes = codes_of("".join(texts))
         begins = np.r_[0, np.cumsum(lengths)]
-        document = np.repeat(np.arange(len(texts)), lengths)
-        hits: set[tuple[int, int]] = set()
-        for doc, item, diagonal in passages.regions(codes, document):
-            if (doc, item) not in hits and passages.aligned(codes[begins[doc] : begins[doc + 1]], item, diagonal - int(begins[doc])):
-                hits.add((doc, item))
-        return [(keys[d], passages.ids[i]) for d, i in sorted(hits)]
+        doc, item, diagonal, places = passages.regions(codes, np.repeat(np.arange(len(texts)), lengths))
+        hit = passages.aligned(codes, begins[doc], begins[doc + 1], item, diagonal, places)
+        return [(keys[d], passages.ids[i]) for d, i in sorted(set(zip(doc[hit].tolist(), item[hit].tolist())))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(*shared.value, words, errors)
+        passages = built(name, shared.value, words, errors)
         for batch in batches:
             found, keys, held, n = [], [], [], 0
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

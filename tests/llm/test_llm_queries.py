@@ -24,3 +24,13 @@ def test_p8_covers_every_document(spark):
 
 def test_p9_columns(spark):
     assert queries.p9_found(spark, FOLDER).columns == ["doc_id", "item_id"]
+
+
+def test_p9_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in ("documents", "eval_items"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    want = set(con.execute(queries.sql()["p9_found"]).fetchall())
+    exact = set(map(tuple, queries.p9_found(spark, FOLDER).collect()))
+    assert exact == want and want and exact <= set(map(tuple, queries.p9_edits(spark, FOLDER).collect()))
