@@ -5,6 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from marlgraph.functions import bloom
 from marlgraph.functions.skew import hot_keys, join_skewed
 from marlgraph.operators import heavy_keys, incremental, orphans, wide
 from marlgraph.runtime import Conflict, scratch_path
@@ -144,6 +145,30 @@ def test_orphans_match_brute_force(spark):
     assert orphans.orphan_report(found).agg(F.sum("orphans")).first()[0] == found.count()
 
 
+def test_filter_keeps_its_share_with_tiny_sections(spark, monkeypatch):
+    """Sections of 2,048 bits for 2,000 parents: nearly all definite orphans are still proven at the scan, and without any filter the rows are the same."""
+    assert bloom.supported(spark)  # this Spark's own expressions are used; elsewhere there is no filter
+    parents = spark.range(2000).select(F.lit("default").alias("tenant_id"), F.col("id").alias("node_id"))
+    e = spark.range(4000).select(F.col("id").alias("request_id"), F.lit(None).cast("string").alias("tenant_id"), F.col("id").alias("source_id"), F.lit(None).cast("long").alias("target_id"), F.lit("PUT").alias("op"), F.lit(T0).cast("timestamp_ntz").alias("requested_at"))
+    tested = orphans.tested_references(e, parents, bits=2048)
+    proven = tested.where("NOT maybe")
+    assert proven.where("node_id < 2000").count() == 0 and proven.count() >= 0.9 * 2000
+    made = bloom.bloom_of(parents.select(F.xxhash64("tenant_id", "node_id").alias("h")), "h", 2000, 2048)
+    assert len(made.sections) == 10 and bloom.bloom_of(parents.select(F.xxhash64("tenant_id", "node_id").alias("h")), "h", 2000, 64).sections is None
+    v = parents.select(F.col("node_id").alias("write_id"), "tenant_id", "node_id", F.lit("PUT").alias("op"), F.lit(T0).cast("timestamp_ntz").alias("written_at"))
+    want = rows_of(orphans.orphans(e, v).select("request_id", "kind"))
+    monkeypatch.setattr(bloom, "supported", lambda s: False)
+    assert rows_of(orphans.orphans(e, v).select("request_id", "kind")) == want and len(want) == 2000
+
+
+def test_one_moment_of_one_vertex_is_split(spark):
+    """Twenty thousand writes and references of one vertex within one hour, half of them at one moment."""
+    writes = [(i, "t", 1, "DELETE" if i % 2 else "PUT", at(0) if i < 5000 else at(0) + dt.timedelta(milliseconds=i), "") for i in range(10_000)]
+    edges = [(i, "t", 1, None, "PUT", at(0) if i < 5000 else at(0) + dt.timedelta(milliseconds=i), "") for i in range(10_000)]
+    got = {r.request_id for r in orphans.orphans(spark.createDataFrame(edges, EDGES), spark.createDataFrame(writes, VERTICES)).where("kind = 'deleted'").collect()}
+    assert got == {*range(5000), *(i for i in range(5000, 10_000) if i % 2)}
+
+
 def test_skewed_join_keeps_every_row(spark):
     left = spark.range(6000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([(1, "hub"), (4500, "x")], "k long, w string")
