@@ -1,12 +1,14 @@
 """The most similar vectors of every vector, by vantage-point trees per shard.
 
-A small tree of vantage points, fitted per domain on a bounded sample, divides each domain into shards of about CAPACITY vectors. Inside a shard a second tree
-is built over all its vectors. Both are searched with the triangle inequality: beyond |d(q, v) - median| > factor * radius the
+A small tree of vantage points, fitted per domain on a bounded sample, divides each domain into shards of about CAPACITY vectors. A shard that comes out larger, as in domains too
+big for the sample, is divided by a tree of its own, fitted where the shard's sample is; the shards' trees grow by 260 bytes a shard. Inside a shard a second tree
+is built over all its vectors. All are searched with the triangle inequality: beyond |d(q, v) - median| > factor * radius the
 other side is skipped. At factor 1 nothing within the radius can be missed; smaller factors search less at some loss, since in many dimensions
 a near vector's distance to a vantage point differs from the query's by far less than the inequality allows.
 
 First every vector searches its own shard; the distance of its k-th neighbour there (at most the given maximum) is then the radius with which it visits
-others. A visit serves both sides: the members of the visited shard also take the visitor as a candidate. Every vector is indexed and is a query.
+others. A visit serves both sides: the members of the visited shard also take the visitor as a candidate. A shard with many visitors receives them in parts, each of which meets
+all members. Every vector is indexed and is a query.
 
 Exact copies of a vector are one unit with its k + 1 smallest ids, so a group of any number of copies is searched once and each copy
 gets its k neighbours by one join; no list grows with the group.
@@ -17,6 +19,7 @@ entity count once (of different vectors the smallest); ties in distance go to th
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,8 @@ from marlgraph.runtime import materialize, ship
 CAPACITY, LEAF = 8_192, 512
 #: Vectors on which the trees over shards are fitted: so many for each shard needed, and at most SAMPLE of all domains together (26 MB at 64 dimensions).
 PER_SHARD, SAMPLE = 64, 100_000
+#: Visitors of a shard that are looked at together, in capacities; one in so many vectors tells how many there will be.
+VISITORS, COUNTED = 4, 64
 FACTOR = 0.15
 
 
@@ -93,6 +98,36 @@ class Tree:
             waiting += [(2 * node + 1, who[gap <= margin[who]]), (2 * node + 2, who[gap > -margin[who]])]
 
 
+@dataclass
+class Routing:
+    """A domain's tree of shards and the trees of shards that had to be divided. A shard's number is the leaf's, times SPREAD, plus that in the leaf's own tree."""
+
+    top: Tree
+    below: dict[int, Tree]
+
+    SPREAD = 1 << 20
+
+    @property
+    def shards(self) -> int:
+        return self.top.leaves + sum(t.leaves - 1 for t in self.below.values())
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        leaf = self.top.home(x)
+        out = leaf * self.SPREAD
+        for i in np.intersect1d(leaf, list(self.below)) if self.below else ():
+            own = np.flatnonzero(leaf == i)
+            out[own] += self.below[int(i)].home(x[own])
+        return out
+
+    def visits(self, x: np.ndarray, margin: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for leaf, who in self.top.visits(x, margin):
+            if leaf not in self.below:
+                yield leaf * self.SPREAD, who
+                continue
+            for sub, some in self.below[leaf].visits(x[who], margin[who]):
+                yield leaf * self.SPREAD + sub, who[some]
+
+
 def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))
 
@@ -170,19 +205,8 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
     units = points.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("domain", "h1", "h2").agg(F.array_sort(F.collect_list("node_id")).alias("ids"), F.first("vector").alias("vector"))
     units = materialize(units.select("domain", F.col("ids")[0].alias("unit"), "ids", "vector", "h1", "h2"), "units")
 
-    trees = spark.sparkContext.broadcast(fit_routing(units, dim, capacity))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            domains, x = batch.column(0).to_pylist(), _matrix(batch.column(2), dim)
-            leaf = np.zeros(len(x), np.int64)
-            names = np.array(domains, object)
-            for domain in trees.value.keys() & set(domains):
-                some = np.flatnonzero(names == domain)
-                leaf[some] = trees.value[domain].home(x[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf), batch.column(1), batch.column(2)], names=["domain", "leaf", "unit", "vector"])
-
-    homes = units.select("domain", "unit", "vector").mapInArrow(place, "domain string, leaf long, unit long, vector array<float>")
+    trees = spark.sparkContext.broadcast(divided(units, {d: Routing(t, {}) for d, t in fit_routing(units, dim, capacity).items()}, dim, capacity))
+    homes = placed(units, trees, dim)
     listed = "domain string, unit long, other long, distance double"
 
     def at_home(table: pa.Table) -> pa.Table:
@@ -201,22 +225,29 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
     searched = materialize(searched, "searched")
     lists = searched.select("domain", "unit", F.explode(F.arrays_zip("others", "distances")).alias("e")).select("domain", "unit", F.col("e.others").alias("other"), F.col("e.distances").alias("distance"))
 
-    if any(tree.leaves > 1 for tree in trees.value.values()):
+    if any(tree.shards > 1 for tree in trees.value.values()):
 
-        def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leave(batches: Iterator[pa.RecordBatch], parts: dict[tuple[str, int], int]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names, x = np.array(batch.column("domain").to_pylist(), object), _matrix(batch.column("vector"), dim)
-                home, radius = batch.column("leaf").to_numpy(), batch.column("radius").to_numpy()
+                home, radius, unit = batch.column("leaf").to_numpy(), batch.column("radius").to_numpy(), batch.column("unit").to_numpy()
                 for domain in trees.value.keys() & set(names):
                     some = np.flatnonzero(names == domain)
                     for leaf, who in trees.value[domain].visits(x[some], factor * radius[some]):
                         who = some[who]
                         who = who[home[who] != leaf]
                         if len(who):
-                            part = batch.take(pa.array(who))
-                            yield pa.RecordBatch.from_arrays([part.column("domain"), pa.array(np.full(len(who), leaf)), *(part.column(c) for c in ("unit", "vector", "radius"))], names=["domain", "leaf", "unit", "vector", "radius"])
-
-        away = searched.select("domain", "leaf", "unit", "vector", "radius").mapInArrow(leave, "domain string, leaf long, unit long, vector array<float>, radius double")
+                            rows = batch.take(pa.array(who))
+                            part = (unit[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts.get((domain, leaf), 1)
+                            yield pa.RecordBatch.from_arrays([rows.column("domain"), pa.array(np.full(len(who), leaf)), pa.array(part), *(rows.column(c) for c in ("unit", "vector", "radius"))], names=["domain", "leaf", "part", "unit", "vector", "radius"])
+
+        visitor = "domain string, leaf long, part long, unit long, vector array<float>, radius double"
+        going = searched.select("domain", "leaf", "unit", "vector", "radius")
+        # shards that get more visitors than are looked at together, told from one vector in COUNTED; a row for each such shard
+        counted = going.where(F.pmod(F.xxhash64(F.lit("counted"), "unit"), F.lit(COUNTED)) == 0).mapInArrow(lambda b: leave(b, {}), visitor).groupBy("domain", "leaf").count()
+        crowded = counted.where(F.col("count") * COUNTED > VISITORS * capacity).collect()
+        parts = spark.sparkContext.broadcast({(r["domain"], r["leaf"]): -(-r["count"] * COUNTED // (VISITORS * capacity)) for r in crowded})
+        away = going.mapInArrow(lambda b: leave(b, parts.value), visitor)
 
         def visit(members: pa.Table, visitors: pa.Table) -> pa.Table:
             names = ["domain", "unit", "other", "distance"]
@@ -234,8 +265,18 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
             unit, other, distance = (np.concatenate(c) for c in zip(*pairs))
             return pa.table([pa.array([members.column("domain")[0].as_py()] * len(unit), pa.string()), pa.array(unit), pa.array(other), pa.array(distance)], names=names)
 
-        members = searched.select("domain", "leaf", "unit", "vector", "radius")
-        lists = lists.unionByName(members.groupBy("domain", "leaf").cogroup(away.groupBy("domain", "leaf")).applyInArrow(visit, listed))
+        def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The members of each shard once for each part of its visitors."""
+            for batch in batches:
+                times = np.array([parts.value.get(key, 1) for key in zip(batch.column("domain").to_pylist(), batch.column("leaf").to_pylist())], np.int64)
+                who = np.repeat(np.arange(len(times)), times)
+                rows = batch.take(pa.array(who))
+                part = np.arange(len(who)) - np.repeat(np.r_[0, np.cumsum(times)[:-1]], times) if len(times) else who
+                yield pa.RecordBatch.from_arrays([rows.column("domain"), rows.column("leaf"), pa.array(part), *(rows.column(c) for c in ("unit", "vector", "radius"))], names=["domain", "leaf", "part", "unit", "vector", "radius"])
+
+        members = going.mapInArrow(repeat, visitor) if crowded else going.withColumn("part", F.lit(0).cast("long")).select("domain", "leaf", "part", "unit", "vector", "radius")
+        keys = ["domain", "leaf", "part"]
+        lists = lists.unionByName(members.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInArrow(visit, listed))
 
     # a unit's nearest other units; both directions of a link that either side found
     both = lists.unionByName(lists.select("domain", F.col("other").alias("unit"), F.col("unit").alias("other"), "distance")).distinct()
@@ -256,6 +297,51 @@ def nearest(rows: DataFrame, k: int = 5, limit: float = 0.4, dim: int = 64, fact
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def placed(units: DataFrame, trees, dim: int) -> DataFrame:
+    """(domain, leaf, unit, vector) with the shard of each unit; trees: broadcast Routing by domain."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            domains, x = batch.column(0).to_pylist(), _matrix(batch.column(2), dim)
+            leaf = np.zeros(len(x), np.int64)
+            names = np.array(domains, object)
+            for domain in trees.value.keys() & set(domains):
+                some = np.flatnonzero(names == domain)
+                leaf[some] = trees.value[domain].home(x[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf), batch.column(1), batch.column(2)], names=["domain", "leaf", "unit", "vector"])
+
+    return units.select("domain", "unit", "vector").mapInArrow(place, "domain string, leaf long, unit long, vector array<float>")
+
+
+def divided(units: DataFrame, trees: dict[str, Routing], dim: int, capacity: int) -> dict[str, Routing]:
+    """The same with a tree for every shard of more than 1.5 capacities, fitted by a task for each such shard on its own sample of PER_SHARD vectors for each part."""
+    if not trees:
+        return trees
+    spark = units.sparkSession
+    homes = placed(units, spark.sparkContext.broadcast(trees), dim)
+    large = homes.groupBy("domain", "leaf").count().where(F.col("count") > 1.5 * capacity).collect()  # fewer than there are shards
+    if not large:
+        return trees
+    wanted = {(r["domain"], r["leaf"]): _power(r["count"] / capacity) for r in large}
+    share = int(min(1.0, PER_SHARD / capacity) * (1 << 30))
+    chosen = spark.sparkContext.broadcast(wanted)
+
+    def some_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([k in chosen.value for k in zip(batch.column("domain").to_pylist(), batch.column("leaf").to_pylist())], pa.bool_()))
+
+    def fit(table: pa.Table) -> pa.Table:
+        domain, leaf = table.column("domain")[0].as_py(), table.column("leaf")[0].as_py()
+        x = _matrix(table.column("vector"), dim)
+        tree = Tree.fit(x, min(chosen.value[domain, leaf], max(1, _power(len(x) / 16) // 2)))
+        return pa.table({"domain": [domain], "leaf": [leaf], "tree": [pickle.dumps(tree)]})
+
+    sampled = homes.where(F.pmod(F.xxhash64(F.lit("part"), "unit"), F.lit(1 << 30)) < share).mapInArrow(some_of, "domain string, leaf long, unit long, vector array<float>")
+    for r in sampled.groupBy("domain", "leaf").applyInArrow(fit, "domain string, leaf long, tree binary").collect():
+        trees[r["domain"]].below[r["leaf"] // Routing.SPREAD] = pickle.loads(r["tree"])
+    return trees
+
+
 def fit_routing(units: DataFrame, dim: int, capacity: int = CAPACITY, sample: int = SAMPLE) -> dict[str, Tree]:
     """A tree for each domain that fills more than a shard, over a sample of about PER_SHARD vectors a shard, chosen by hash; its leaves are the shards.
 

@@ -72,3 +72,18 @@ def test_ranks(spark):
     x = data(1, 300)
     rows = similar.nearest(frame(spark, x), 3, 10.0, 16, factor=1.0)
     assert rows.count() == 900 and rows.agg(F.max("rank"), F.min("rank")).first() == (3, 1)
+
+
+def test_large_shards_are_divided_and_crowded_ones_get_visitors_in_parts(spark, monkeypatch):
+    """A sample too small for the domain: the first trees leave shards of hundreds, their own trees bring all below twice the capacity, and factor one stays exact."""
+    monkeypatch.setattr(similar, "COUNTED", 2)
+    x, capacity, dim = data(7, 3000), 100, 16
+    units = frame(spark, x).select("domain", F.col("node_id").alias("unit"), "vector")
+    first = {d: similar.Routing(t, {}) for d, t in similar.fit_routing(units, dim, capacity, sample=100).items()}
+    assert first["d"].shards <= 8
+    whole = similar.divided(units, first, dim, capacity)
+    sizes = [r["count"] for r in similar.placed(units, spark.sparkContext.broadcast(whole), dim).groupBy("leaf").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * capacity and whole["d"].shards >= len(sizes) > 20
+    fit = similar.fit_routing
+    monkeypatch.setattr(similar, "fit_routing", lambda u, d, c: fit(u, d, c, sample=100))
+    assert pairs(similar.near_pairs(frame(spark, x), 5, 0.3, dim, factor=1.0, capacity=capacity)) == brute(x, 5, 0.3)
