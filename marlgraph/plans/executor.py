@@ -24,13 +24,18 @@ def _scan(table: Callable[[str], DataFrame], name: str, joined: str | None, var:
     return rows.select([F.col(f"`{c}`").alias(f"{var}\x1f{c}") for c in rows.columns])
 
 
-def _equals(column: Column, kind: T.DataType, value: str | int) -> Column:
-    """The literal takes the column's type; one that can't matches nothing, and null never matches."""
+def _equals(column: Column, kind: T.DataType, value: str | int, strict: bool) -> Column:
+    """The literal takes the column's type; one that can't matches nothing, and null never matches. strict: a text only equals text, a number only whole numbers."""
+    if strict and not isinstance(kind, T.StringType if isinstance(value, str) else T.IntegralType):
+        return F.lit(False)
     return column == F.lit(value).cast("string").try_cast(kind)
 
 
-def execute(plan: Plan, table: Callable[[str], DataFrame]) -> DataFrame:
-    """Returned variables become columns var_column; with properties, their names. The result has every match, repeats included."""
+def execute(plan: Plan, table: Callable[[str], DataFrame], declared: bool = False, strict: bool = False) -> DataFrame:
+    """Returned variables become columns var_column; with properties, their names. The result has every match, repeats included.
+
+    declared: a variable has only its key columns and the PROPERTIES of its mapping, so no other column is read or may be asked for. strict: no conversion between text and numbers.
+    """
     at = lambda var, c: F.col(f"`{var}\x1f{c}`")
     owner = {plan.start_var: plan.start_var}
     rows = _scan(table, plan.start.table, plan.start.join_table, plan.start_var)
@@ -62,15 +67,23 @@ def execute(plan: Plan, table: Callable[[str], DataFrame]) -> DataFrame:
         rows = rows.join(edge, source_id == near_col).join(target, far_col == at(hop.target_var, hop.target.id_column))
         rows = rows.drop("\x1fnear", "\x1ffar")
 
+    known: dict[str, tuple[str, ...]] = {plan.start_var: (plan.start.id_column, *plan.start.properties)}
+    for hop in plan.hops:
+        known[hop.edge_var] = (hop.edge.source_column, hop.edge.target_column, *hop.edge.properties)
+        known[hop.target_var] = (hop.target.id_column, *hop.target.properties)
+
+    def has(var: str, name: str) -> bool:
+        return f"{owner[var]}\x1f{name}" in rows.columns and (not declared or name in known[var])
+
     def column(var: str, name: str) -> str:
         full = f"{owner[var]}\x1f{name}"
-        if full not in rows.columns:
+        if not has(var, name):
             raise PlanError(f"'{var}' has no column '{name}'")
         return full
 
     if plan.conditions:
         kinds = {f.name: f.dataType for f in rows.schema.fields}
-        tests = [reduce(lambda a, b: a | b, [_equals(F.col(f"`{c}`"), kinds[c], v) for v in cond.values]) for cond in plan.conditions for c in [column(cond.var, cond.prop)]]
+        tests = [reduce(lambda a, b: a | b, [_equals(F.col(f"`{c}`"), kinds[c], v, strict) for v in cond.values]) for cond in plan.conditions for c in [column(cond.var, cond.prop)]]
         rows = rows.where(reduce(lambda a, b: a & b, tests))
     out = []
     for item in plan.returns:
@@ -78,7 +91,7 @@ def execute(plan: Plan, table: Callable[[str], DataFrame]) -> DataFrame:
             out.append(F.col(f"`{column(item.var, item.prop)}`").alias(item.name or f"{item.var}_{item.prop}"))
         else:
             prefix = f"{owner[item.var]}\x1f"
-            out += [F.col(f"`{c}`").alias(f"{item.var}_{c[len(prefix) :]}") for c in rows.columns if c.startswith(prefix)]
+            out += [F.col(f"`{c}`").alias(f"{item.var}_{c[len(prefix) :]}") for c in rows.columns if c.startswith(prefix) and has(item.var, c[len(prefix) :])]
     rows = rows.select(out)
     return rows if plan.limit is None else rows.limit(plan.limit)
 

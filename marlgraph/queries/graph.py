@@ -181,6 +181,20 @@ def path_project_alias(spark, folder):
     return _match(spark, folder, "MATCH (c:Customer)-[:LocatedIn]->(n:Nation) RETURN c.c_name AS name, c.c_acctbal, n.n_name AS nation", True)
 
 
+@_query("SELECT o.o_orderkey o_o_orderkey, o.o_custkey o_o_custkey, o.o_orderstatus o_o_orderstatus, o.o_totalprice o_o_totalprice, o.o_orderdate o_o_orderdate, o.o_orderpriority o_o_orderpriority, e.l_orderkey e_l_orderkey, e.l_partkey e_l_partkey, e.l_quantity e_l_quantity, e.l_extendedprice e_l_extendedprice FROM orders o JOIN lineitem e ON o.o_orderkey = e.l_orderkey JOIN part p ON e.l_partkey = p.p_partkey WHERE p.p_size = 7")
+def path_declared(spark, folder):
+    """Variables with their declared properties only: of lineitem four columns are read and come out."""
+    plan = planner.build(pattern.parse("MATCH (o:Order)-[e:Contains]->(p:Part) WHERE p.p_size = 7 RETURN o, e"), parse_catalog(MAPPING), unique_ids=UNIQUE)
+    return executor.execute(plan, lambda name: table(spark, folder, name), declared=True)
+
+
+@_query(f"SELECT {_cols(('o', 'orders'))} FROM orders o WHERE o_orderstatus = 'F'")
+def path_strict(spark, folder):
+    """Conditions without conversion: a text never equals a number."""
+    plan = planner.build(pattern.parse("MATCH (o:Order) WHERE o.o_orderstatus = 'F' RETURN o"), parse_catalog(MAPPING), unique_ids=UNIQUE)
+    return executor.execute(plan, lambda name: table(spark, folder, name), strict=True)
+
+
 @_query("SELECT n_nationkey::VARCHAR n_n_nationkey, n_name n_n_name, n_regionkey::VARCHAR n_n_regionkey FROM nation")
 def path_utf8(spark, folder):
     return executor.all_strings(_match(spark, folder, "MATCH (n:Nation) RETURN n"))
@@ -356,9 +370,20 @@ def bfs_both(spark, folder):
     return traverse.expand(_puts(spark, folder), 8, 2, direction="both").select("node_id", "depth")
 
 
-@_query()
+def _capped_sql(anchor: int, depth: int, cap: int) -> str:
+    """The levels of a search in both directions one after another, each cut to what is left of the cap, then the visited vertices' neighbour lists."""
+    steps = f"WITH {_G}, s AS (SELECT src a, 0 dir, dst b FROM g UNION ALL SELECT dst, 1, src FROM g), v0 AS (SELECT {anchor}::BIGINT node, 0 AS depth, 0::BIGINT AS rank)"
+    for k in range(1, depth + 1):
+        first = f"SELECT b, l.rank p, dir, row_number() OVER (PARTITION BY b ORDER BY l.rank, dir) r FROM (SELECT * FROM v{k - 1} WHERE depth = {k - 1}) l JOIN s ON s.a = l.node WHERE b NOT IN (SELECT node FROM v{k - 1})"
+        steps += f", n{k} AS (SELECT b, (SELECT count(*) FROM v{k - 1}) + row_number() OVER (ORDER BY p, dir, b) - 1 rank FROM ({first}) WHERE r = 1), v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT b, {k}, rank FROM n{k} WHERE rank < {cap})"
+    lists = "p AS (SELECT a, dir, b, (row_number() OVER (PARTITION BY a, dir ORDER BY b) - 1) // 1000 seg FROM s)"
+    side = "coalesce(string_agg(b::VARCHAR, ',' ORDER BY b) FILTER (dir = {}), '')"
+    return f"{steps}, {lists} SELECT node node_id, depth, rank, coalesce(seg, 0)::BIGINT segment, {side.format(0)} out_edges, {side.format(1)} in_edges FROM v{depth} LEFT JOIN p ON a = node GROUP BY node, depth, rank, seg"
+
+
+@_query(_capped_sql(8, 3, 40))
 def bfs_capped(spark, folder):
-    """With a cap of 40 vertices, ranks and neighbour lists; tested against a queue in Python."""
+    """With a cap of 40 vertices, ranks and neighbour lists."""
     edges = _puts(spark, folder)
     rows = traverse.with_neighbours(traverse.expand(edges, 8, 3, 40, "both"), edges, "both")
     return rows.select("node_id", "depth", "rank", "segment", F.array_join("out_edges", ",").alias("out_edges"), F.array_join("in_edges", ",").alias("in_edges"))
@@ -598,13 +623,21 @@ def rag_fragments(spark, folder):
     return retrieve.resolve(found, _paths(spark, folder)).select(retrieve.fragment_line().alias("line"))
 
 
-@_query()
+_PLACE = "CASE WHEN substr(md5(w), 9, 1) < '8' THEN -1 ELSE 1 END sign, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 place"
+
+
+@_query(f"""WITH t AS (SELECT DISTINCT text FROM entity_embeddings WHERE text IS NOT NULL UNION SELECT 'valve seat'),
+w AS (SELECT text, {_PLACE} FROM (SELECT text, unnest(regexp_split_to_array(lower(text), '\\s+')) w FROM t) WHERE w <> ''),
+s AS (SELECT text, place, sum(sign)::DOUBLE x FROM w GROUP BY ALL), n AS (SELECT text, sqrt(sum(x * x)) norm FROM s GROUP BY 1),
+v AS (SELECT s.text, place, coalesce((x / nullif(norm, 0))::FLOAT, 0)::DOUBLE x FROM s JOIN n USING (text)), q AS (SELECT place, x FROM v WHERE text = 'valve seat'), qq AS (SELECT sum(x * x) d FROM q),
+d AS (SELECT v.text, sum(v.x * v.x) - 2 * sum(v.x * coalesce(q.x, 0)) + any_value(qq.d) d FROM v CROSS JOIN qq LEFT JOIN q ON q.place = v.place GROUP BY 1)
+SELECT DISTINCT node_id, round(CASE WHEN e.text IS NULL THEN NULL ELSE abs(coalesce(d.d, qq.d)) END, 3) distance FROM entity_embeddings e CROSS JOIN qq LEFT JOIN d ON d.text = e.text""")
 def rag_embed(spark, folder):
-    """Hashed embeddings of all entity texts and their distance to a question's; the hash isn't SQL."""
+    """Hashed embeddings of all entity texts and their distance to a question's."""
     embed = hashed_embedding()
     rows = table(spark, folder, "entity_embeddings").select("node_id", "text").distinct().withColumn("vector", embed("text"))
     query = spark.createDataFrame([("valve seat",)], "text string").select(embed("text")).first()[0]
-    return rows.select("node_id", F.round(squared_l2("vector", query), 4).alias("distance")).distinct()
+    return rows.select("node_id", F.round(squared_l2("vector", query), 3).alias("distance")).distinct()
 
 
 # --- profiling --------------------------------------------------------------------------------------------------------------------------

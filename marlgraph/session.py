@@ -44,17 +44,18 @@ class GraphSession:
         self.tables = tables or spark.table
         self.tenant_id, self.principal, self.policy = tenant_id, principal or Principal("anonymous"), policy or Policy()
         self.context, self.unique_ids = planner.SecurityContext(tenant_id, frozenset(allowed_labels)), unique_ids
-        self.embeddings, self.embed = embeddings, embed
+        self.embeddings, self.embed, self.metrics = embeddings, embed, retrieve.Metrics()
         if self.principal.name == "anonymous" and tenant_id == "admin":
             LOG.warning("denied: %s on tenant %s", self.principal.name, tenant_id)
             raise PermissionError("anonymous may not use the tenant admin")
 
     # --- patterns ---------------------------------------------------------------------------------------------------------------------
 
-    def query(self, text: str, limit: int = 0, extended: bool = False) -> DataFrame:
+    def query(self, text: str, limit: int = 0, extended: bool = False, declared: bool = False, strict: bool = False) -> DataFrame:
+        """Matches of a pattern. declared: variables have their key columns and declared properties only; strict: no conversion between text and numbers."""
         LOG.info("query by %s on %s: %s", self.principal.name, self.tenant_id, text)
         plan = planner.build(pattern.parse(text, extended), self.catalog, self.context, self.unique_ids, limit)
-        return executor.execute(plan, self.tables)
+        return executor.execute(plan, self.tables, declared, strict)
 
     def list_schema(self) -> DataFrame:
         return self.catalog.as_frame(self.spark)
@@ -199,6 +200,19 @@ class GraphSession:
         for f in said.get("folded", []):
             fs.delete(path(f"{self.root}/{name}/{f}"), False)
 
+    def telemetry(self) -> DataFrame:
+        """(log, compactions, buckets, compacted_rows, appended_files, bytes) of each log."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        size = lambda name: fs.getContentSummary(path(f"{self.root}/{name}")).getLength() if fs.exists(path(f"{self.root}/{name}")) else 0
+        rows = []
+        for name in LOGS:
+            table = self._table(name)
+            said = table.content()
+            parts = said.get("parts", {}).values()
+            rows.append((name, table.head(), len(parts), sum(n for _, n in parts), len(self._files(name, said.get("folded", []))), size(name) + size(f"compacted-{name}")))
+        return self.spark.createDataFrame(rows, "log string, compactions long, buckets long, compacted_rows long, appended_files long, bytes long")
+
     # --- reads ------------------------------------------------------------------------------------------------------------------------
 
     def get_vertex(self, node_id: int) -> dict[str, str]:
@@ -241,7 +255,7 @@ class GraphSession:
         return retrieve.recall(self.embeddings, vector, domain, k)
 
     def answer(self, question: str, enable_embeddings: bool = False, llm: Callable[[str], str] | None = None, max_fragments: int = retrieve.FRAGMENTS) -> retrieve.RagResult:
-        return retrieve.answer(question, self.principal, self.policy, self.vertices, self.paths, self.embeddings, self.embed, llm, self.tenant_id, enable_embeddings, max_fragments)
+        return retrieve.answer(question, self.principal, self.policy, self.vertices, self.paths, self.embeddings, self.embed, llm, self.tenant_id, enable_embeddings, max_fragments, self.metrics)
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> tuple[dict, list[tuple[str, str, str, str]], str]:

@@ -89,9 +89,13 @@ def from_json_lines(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(column, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("e")).select("e.*")
 
 
-def kafka_events(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
-    """A stream of events from Kafka as JSON; needs the Kafka connector on the class path."""
+def kafka_events(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", wire: bool = False) -> DataFrame:
+    """A stream of events from Kafka, as JSON or in the wire format; needs the Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).load()
+    if wire:
+        from marlgraph.sources.wire import from_wire
+
+        return from_wire(raw)
     return from_json_lines(raw.select(F.col("value").cast("string").alias("value")))
 
 

@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-Dderby.stream.error.file=/dev/null")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
