@@ -36,7 +36,7 @@ from marlgraph.runtime import VersionedTable, ship
 #: Documents from which labels are taken, and rows of contacts from which they are made.
 SAMPLE, CONTACTS = 6_000, 100_000
 #: Training: tasks, rounds, steps of a task in a round, windows drawn for a step; windows of a task at most, and their length.
-WORKERS, ROUNDS, STEPS, DRAWN = 8, 10, 120, 32
+WORKERS, ROUNDS, STEPS, DRAWN = 8, 6, 200, 32
 POOL, LENGTH = 9_000, 96
 WINDOW, OVERLAP = 256, 48
 #: Windows that are tagged together.
