@@ -53,23 +53,26 @@ def degrees(edge_writes: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 
 def segmented(rows: DataFrame, by: list[str], value: str, segment: int = SEGMENT) -> DataFrame:
-    """(by, value, segment): the distinct values of each key, numbered in ascending order and cut after every `segment` of them.
+    """(by, segment, values): the sorted distinct values of each key as lists, cut after every `segment` of them.
 
-    A value's place in its key's list is the number of values in lower blocks plus its place in its own block. The second comes from a
-    window over one block, so the longest sort of a task is a block and not a whole hub; the first from counts of the blocks.
+    Values are gathered as a set for each key and block, combined before the shuffle, so what moves is lists of at most a block and never a hub's whole one.
+    A block's place in its key's list is the number of values in lower blocks, a sum over the blocks' sizes alone. Each block is then cut at the
+    segments' borders, and the few pieces of a segment are put together.
     """
-    # never null, so that the join adds no filter to one side only and both sides share the exchange of the distinct rows
+    # never null, so that the join adds no filter to one side only and both sides share the exchange of the sets
     block = F.coalesce(F.shiftright(value, BLOCK_BITS), F.lit(0))
-    distinct = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, value])).select(*by, value, block.alias("_block")).distinct()
+    kept = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, value])).select(*by, value, block.alias("_block"))
+    sets = kept.groupBy(*by, "_block").agg(F.array_sort(F.collect_set(value)).alias("_values"))
     below = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = distinct.groupBy(*by, "_block").agg(F.count("*").alias("_size"))
-    sizes = sizes.select(*by, "_block", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_before"))
-    placed = distinct.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(value)))
-    number = F.floor((F.col("_place") + F.col("_before") - 1) / segment)
-    return placed.join(sizes, [*by, "_block"]).select(*by, value, number.alias("segment"))
+    before = sets.select(*by, "_block", F.size("_values").alias("_size")).select(*by, "_block", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_before"))
+    first, last = (F.floor(x / segment).cast("int") for x in (F.col("_before"), F.col("_before") + F.size("_values") - 1))
+    begin = lambda k: F.greatest(k * segment - F.col("_before"), F.lit(0)).cast("int")
+    piece = lambda k: F.struct(k.cast("long").alias("segment"), F.col("_block"), F.slice("_values", begin(k) + 1, ((k + 1) * segment - F.col("_before")).cast("int") - begin(k)).alias("_values"))
+    pieces = sets.join(before, [*by, "_block"]).select(*by, F.explode(F.transform(F.sequence(first, last), piece)).alias("_p")).select(*by, "_p.*")
+    whole = pieces.groupBy(*by, "segment").agg(F.array_sort(F.collect_list(F.struct("_block", "_values"))).alias("_pieces"))
+    return whole.select(*by, "segment", F.flatten(F.col("_pieces._values")).alias("values"))
 
 
 def neighbour_segments(pairs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(tenant_id, source_id, segment, neighbours): the sorted distinct targets of each source, cut after every `segment` of them."""
-    rows = segmented(pairs, ["tenant_id", "source_id"], "target_id", segment)
-    return rows.groupBy("tenant_id", "source_id", "segment").agg(F.array_sort(F.collect_list("target_id")).alias("neighbours"))
+    return segmented(pairs, ["tenant_id", "source_id"], "target_id", segment).withColumnRenamed("values", "neighbours")

@@ -95,7 +95,8 @@ def neighbour_lists(ends: DataFrame, keys: list[str], segment: int = SEGMENT) ->
 
     A vertex with fewer neighbours has one row, segment 0; a hub has as many as it needs, and no task ever holds its whole list.
     """
-    one = lambda d: F.array_sort(F.collect_list(F.when(F.col("dir") == d, F.col("other"))))
+    # a key has at most one row for each direction and segment
+    one = lambda d: F.coalesce(F.max(F.when(F.col("dir") == d, F.col("values"))), F.array().cast("array<long>"))
     return segmented(ends, [*keys, "dir"], "other", segment).groupBy(*keys, "segment").agg(one(0).alias("out_edges"), one(1).alias("in_edges"))
 
 

@@ -69,7 +69,9 @@ def wide(attributes: DataFrame, catalog: DataFrame) -> DataFrame:
     columns = {name: typed(F.col("cells")[name], kind) for name, kind, _ in declared}
     full = entities.select("tenant_id", "node_id", "cells", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("t"))
     blank = lambda v: v.isNull() | v.rlike(r"^[\s\u00a0]*$")
-    failed = F.map_filter("cells", lambda k, v: ~blank(v) & F.coalesce(*[F.when(k == n, F.col("t")[n].isNull()) for n in columns], F.lit(False)))
+    # one test for each declared column, in generated code
+    unread = [F.struct(F.lit(n).alias("key"), F.when(F.col("t")[n].isNull() & ~blank(F.col("cells")[n]), F.col("cells")[n]).alias("value")) for n in columns]
+    failed = F.map_from_entries(F.filter(F.array(*unread), lambda e: e["value"].isNotNull()))
     return full.select("tenant_id", "node_id", *[F.col("t")[n].alias(n) for n in columns], failed.alias("failed"))
 
 
