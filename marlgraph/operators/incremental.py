@@ -37,7 +37,7 @@ def content_hash(*columns: str | F.Column) -> F.Column:
 
 def hashable(column: str) -> F.Column:
     """A map's entries in order of their keys, so that equal maps have equal hashes."""
-    return F.array_sort(F.map_entries(column))
+    return F.sort_array(F.map_entries(column))
 
 
 class IncrementalLoad:
@@ -53,12 +53,30 @@ class IncrementalLoad:
         The least and greatest hash of a key's rows are combined before the one exchange. Only where a key has both, and so different rows, are rows read again and made distinct.
         """
         rows = self._keyed(rows).select(*self.keys, content_hash(*content).alias("_h"))
-        ends = materialize(rows.groupBy(*self.keys).agg(F.min("_h").alias("content_hash"), F.max("_h").alias("_high")), "hashes")
+        ends = materialize(self._ends(rows), "hashes")
         mixed = ends.where("content_hash <> _high").select(*self.keys)
         if mixed.isEmpty():
             return ends.drop("_high")
-        several = rows.join(mixed, self.keys, "left_semi").distinct().groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash"))
-        return ends.where("content_hash = _high").drop("_high").unionByName(several)
+        return ends.where("content_hash = _high").drop("_high").unionByName(self._several(rows, mixed))
+
+    def _ends(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(F.min("_h").alias("content_hash"), F.max("_h").alias("_high"))
+
+    def _several(self, rows: DataFrame, mixed: DataFrame) -> DataFrame:
+        """The hash of keys with different rows."""
+        return rows.join(mixed, self.keys, "left_semi").distinct().groupBy(*self.keys).agg(F.bit_xor("_h").alias("content_hash"))
+
+    def _changed(self, rows: DataFrame, content: Sequence[str], said: dict) -> DataFrame:
+        """The same as `changes` of `hashed` rows, with `change` only: the rows' hashes meet the state in the exchange that made them, and only keys in doubt are written down."""
+        rows = rows.select(*self.keys, content_hash(*content).alias("_h"))
+        state = self.table.read_buckets(said).select(*self.keys, F.col("content_hash").alias("_old"))
+        doubt = self._ends(rows).join(state, self.keys, "left").where("_old IS NULL OR content_hash <> _old OR content_hash <> _high")
+        doubt = materialize(doubt, "doubt")
+        differ = doubt.where("_old IS NULL OR content_hash = _high").select(*self.keys, "_old")
+        mixed = doubt.where("_old IS NOT NULL AND content_hash <> _high").select(*self.keys, "_old")
+        if not mixed.isEmpty():
+            differ = differ.unionByName(mixed.join(self._several(rows, mixed), self.keys).where("content_hash <> _old").select(*self.keys, "_old"))
+        return differ.select(*self.keys, F.when(F.col("_old").isNull(), "new").otherwise("changed").alias("change"))
 
     def _keyed(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys)))
@@ -78,8 +96,7 @@ class IncrementalLoad:
         said = self.table.content(number)
         rows = self._keyed(rows)
         if said.get("parts"):
-            keys = self.changes(self.hashed(rows, content), number).select(*self.keys, "change")
-            picked = rows.join(keys, self.keys, "inner")
+            picked = rows.join(self._changed(rows, content, said), self.keys, "inner")
         else:
             picked = rows.withColumn("change", F.lit("new"))
         if process is None:

@@ -31,7 +31,7 @@ def _last(log: DataFrame, keys: list[str], values: list[str], carried: list[str]
     """(keys, last): the last write of each key, as (removed, values, seq, carried)."""
     rows = log.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys if k != "tenant_id"))).withColumn("tenant_id", canonical_tenant("tenant_id"))
     removed = (canonical_op("op") == "DELETE" if "op" in log.columns else F.lit(False)).alias("removed")
-    tie = F.xxhash64(*[F.array_sort(F.map_entries(v)) if isinstance(log.schema[v].dataType, T.MapType) else F.col(v) for v in values])
+    tie = F.xxhash64(*[F.sort_array(F.map_entries(v)) if isinstance(log.schema[v].dataType, T.MapType) else F.col(v) for v in values])
     return rows.groupBy(*keys).agg(F.max_by(F.struct(removed, *values, "seq", *carried), F.struct("seq", removed, tie)).alias("last"), F.sum(_puts(log)).alias("puts"))
 
 

@@ -62,7 +62,7 @@ def _loads(spark: SparkSession, folder: str) -> DataFrame:
     """The output of the second of two loads: the first took the copies that succeeded runs had read, the second takes what is new or changed against it in the whole feed."""
     feed = _feed(table(spark, folder, "cdc_events")).where("src_table IS NOT NULL AND primary_key IS NOT NULL AND lsn IS NOT NULL")
     image = [F.col("operation"), incremental.hashable("before_image"), incremental.hashable("after_image")]
-    copies = materialize(feed.groupBy(*MESSAGE, incremental.content_hash(*image).alias("content")).agg(F.min("ingested_at").alias("arrived")), "copies")
+    copies = materialize(feed.select(*MESSAGE, incremental.content_hash(*image).alias("content"), F.col("ingested_at").alias("arrived")), "copies")
     log = table(spark, folder, "run_log").where(F.lower(F.trim("status")) == "succeeded")
     runs = log.select(canonical_table("src_table").alias("src_table"), F.col("from_lsn").alias("from_seq"), F.col("to_lsn").alias("to_seq"), "read_until")
     load = incremental.IncrementalLoad(spark, None, MESSAGE)
