@@ -229,8 +229,12 @@ class GraphSession:
 
     def neighbours(self, ids: int | DataFrame) -> DataFrame:
         """(node_id, segment, out_edges, in_edges) of the ids asked for; unknown ones have empty lists. Only a hub has more than segment 0."""
-        asked = self.spark.createDataFrame([(self._id(ids),)], "node_id long") if isinstance(ids, int) else ids.select("node_id").distinct()
-        found = store.both_ends(self.edges.where(F.col("tenant_id") == self.tenant_id)).join(asked, "node_id", "left_semi")
+        edges = self.edges.where(F.col("tenant_id") == self.tenant_id)
+        if isinstance(ids, int):
+            # a literal condition on the log's keys, which reaches its scan
+            edges = edges.where((F.col("src") == self._id(ids)) | (F.col("dst") == ids))
+        asked = self.spark.createDataFrame([(ids,)], "node_id long") if isinstance(ids, int) else ids.select("node_id").distinct()
+        found = store.both_ends(edges).join(asked, "node_id", "left_semi")
         return traverse.with_lists(asked, store.neighbour_lists(found, ["node_id"]))
 
     def degree(self, ids: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ A keyed state store holds the identifiers seen, as 128-bit hashes in one sorted
 a 32-bit fingerprint under the day of its kept copy. State, offsets and output advance together: state and offsets by the checkpoint, the output of a
 micro-batch as one folder named by the batch, which a replay overwrites with the same rows. A copy that arrives after its identifier expired, however late, meets its
 fingerprint and is looked up exactly in the output of earlier batches, of which only the days and shelves that fingerprints name are read. A micro-batch without such a
-match reads no earlier output, so its cost doesn't grow with what came before.
+match reads no earlier output; what grows with the past are four bytes of state for each identifier, so buckets should be many where a stream lasts long.
 
 Copies of one identifier within an input partition are combined before the shuffle, so a message delivered millions of times is a few rows of its bucket.
 
